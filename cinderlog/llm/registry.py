@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import quality, sharding, urlfilter
+from cinderlog.llm import bpe, quality, secrets, sharding, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_blob_ledger": secrets.op1_blob_ledger,
         "op2_feistel_shards": sharding.op2_feistel_shards,
         "op3_url_rules": urlfilter.op3_url_rules,
         "op7_line_frequency": quality.op7_line_frequency,
+        "op8_segment_tree_bpe": bpe.op8_segment_tree_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": urlfilter.ORACLE_SQL, "op7_line_frequency": quality.ORACLE_SQL}
+    return {"op1_blob_ledger": secrets.ORACLE_SQL, "op3_url_rules": urlfilter.ORACLE_SQL, "op7_line_frequency": quality.ORACLE_SQL}
