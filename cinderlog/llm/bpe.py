@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,6 +25,19 @@ from pyspark.sql import DataFrame
 CACHED = 1 << 18  # pieces that a worker remembers
 NONE = 1 << 40  # above any rank
 
+# Code points that became letters and numbers after Unicode 16, by whose tables texts are split.
+LATER_LETTERS = (
+    "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD "
+    "A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A "
+    "11DB0-11DDB 11DF1-11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 "
+    "18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+).split()
+LATER_NUMBERS = (
+    "11DE0-11DE9 1246F-1246F 12475-1247F 12550-12686 16FF4-16FF6 "
+).split()
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a token in base64 and its rank on each line."""
@@ -90,11 +104,20 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def as_set(ranges: list[str]) -> str:
+    """Ranges of hexadecimal code points as the inside of a character set."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ranges)
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED):
         import regex
 
         self.ranks, self.split, self.cached = ranks, regex.compile(pattern).findall, cached
+        # for the rare texts with later letters or numbers: the same pattern without them
+        older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{as_set(LATER_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{as_set(LATER_NUMBERS)}]]")
+        self.split_older = regex.compile("(?V1)" + older).findall
+        self.has_later = re.compile(f"[{as_set(LATER_LETTERS + LATER_NUMBERS)}]").search
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -110,7 +133,8 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         get, miss = self.recent.get, self._miss
-        return list(chain.from_iterable([get(p) or miss(p) for p in self.split(text)]))
+        split = self.split if text.isascii() or not self.has_later(text) else self.split_older
+        return list(chain.from_iterable([get(p) or miss(p) for p in split(text)]))
 
     def decode(self, ids) -> bytes:
         of = self.bytes_of
