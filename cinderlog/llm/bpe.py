@@ -22,7 +22,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHED = 1 << 18  # pieces that a worker remembers
+CACHED = 1 << 19  # pieces in each of the two generations that a worker remembers
 NONE = 1 << 40  # above any rank
 
 # Code points that became letters and numbers after Unicode 16, by whose tables texts are split.
@@ -45,58 +45,60 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
 
 
-class SegmentTree:
-    """The least of an array of ranks and the leftmost place that has it."""
-
-    def __init__(self, values: list[int]):
-        self.size = size = 1 << max(0, len(values) - 1).bit_length()
-        self.tree = tree = [NONE] * size + values + [NONE] * (size - len(values))
-        for i in range(size - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-    def put(self, i: int, value: int) -> None:
-        tree, i = self.tree, i + self.size
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            least = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == least:
-                break
-            tree[i] = least
-
-    def least(self) -> int:
-        return self.tree[1]
-
-    def leftmost(self) -> int:
-        tree, i, want = self.tree, 1, self.tree[1]
-        while i < self.size:
-            i = 2 * i if tree[2 * i] == want else 2 * i + 1
-        return i - self.size
-
-
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece."""
+    """The ids of one piece.
+
+    tree[1] is the least rank of all live pairs; tree[size + i] is the rank of the pair that starts at byte i.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, rank = len(piece), ranks.get
     if n < 2:
-        return [ranks[piece[i : i + 1]] for i in range(n)]
+        return [ranks[piece]] if n else []
+    size = 1 << (n - 1).bit_length()
+    tree = [NONE] * (size + size)
+    for i in range(n - 1):
+        tree[size + i] = rank(piece[i : i + 2], NONE)
+    for i in range(size - 1, 0, -1):
+        x, y = tree[i + i], tree[i + i + 1]
+        tree[i] = x if x <= y else y
+
+    def put(i: int, value: int) -> None:
+        i += size
+        tree[i] = value
+        while i > 1:
+            other = tree[i ^ 1]
+            if other < value:
+                value = other
+            i >>= 1
+            if tree[i] == value:
+                return
+            tree[i] = value
+
     end = list(range(1, n + 1))  # of the live token that starts here
     before = list(range(-1, n - 1))  # start of the live token to the left
-    pair = [ranks.get(piece[i : i + 2], NONE) for i in range(n - 1)] + [NONE]
-    tree = SegmentTree(pair)
-    while tree.least() < NONE:
-        i = tree.leftmost()
+    while (least := tree[1]) < NONE:
+        i = 1
+        while i < size:  # to the leftmost place that has it
+            i += i
+            if tree[i] != least:
+                i += 1
+        i -= size
         j = end[i]  # start of the right neighbour, which dies
         k = end[i] = end[j]
-        tree.put(j, NONE)
+        if tree[size + j] != NONE:
+            put(j, NONE)
         if k < n:
             before[k] = i
-        tree.put(i, ranks.get(piece[i : end[k]], NONE) if k < n else NONE)
+            put(i, rank(piece[i : end[k]], NONE))
+        else:
+            put(i, NONE)
         h = before[i]
         if h >= 0:
-            tree.put(h, ranks.get(piece[h:k], NONE))
+            value = rank(piece[h:k], NONE)
+            if tree[size + h] != value:
+                put(h, value)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -122,19 +124,20 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.recent: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}  # the generation before
 
     def _miss(self, piece: str) -> list[int]:
-        ids = merge_piece(piece.encode(), self.ranks)
+        ids = self.older.get(piece) or merge_piece(piece.encode(), self.ranks)
         if len(piece) <= 64:
             if len(self.recent) >= self.cached:
-                self.recent.clear()
+                self.older, self.recent = self.recent, {}
             self.recent[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        get, miss = self.recent.get, self._miss
+        miss = self._miss
         split = self.split if text.isascii() or not self.has_later(text) else self.split_older
-        return list(chain.from_iterable([get(p) or miss(p) for p in split(text)]))
+        return list(chain.from_iterable([self.recent.get(p) or miss(p) for p in split(text)]))
 
     def decode(self, ids) -> bytes:
         of = self.bytes_of
