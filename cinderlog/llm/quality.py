@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 MAX_DOCS = 100  # distinct documents of a host that may share a line
 MIN_KEPT = 0.2  # share of its words that a document must keep
 
@@ -30,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def lines_of(text: Column) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: s.rlike(WORD))
+
+
 def add_measures(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and _lines.
 
@@ -73,12 +78,11 @@ def add_measures(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_places", places)
     covered = F.expr("size(array_distinct(flatten(transform(_places, i -> array(i, i + 1, i + 2)))))")
     out = out.withColumn("n_repeat_words", F.when(F.col("_repeats"), covered).otherwise(0).cast("long"))
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, SPACES, "")) > 0)
-    out = out.withColumn("_lines", lines)
+    out = out.withColumn("_lines", lines_of(F.col("text")))
     return out.withColumns(
         {
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
@@ -88,43 +92,28 @@ def add_measures(docs: DataFrame) -> DataFrame:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
-
-
-def line_keys(docs: DataFrame, host: str) -> Column:
-    """A row's distinct lines: key of host and normalised line, and the words that all its occurrences have."""
+def line_keys(host: str) -> Column:
+    """Of the column _lines: key of host and normalised line, and the line's number of words."""
     host_of = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
-    return F.transform(
-        "_lines",
-        lambda s: F.struct(
-            F.xxhash64(host_of, normalised(s)).alias("key"),
-            F.size(F.filter(F.split(s, SPACE), lambda w: w != "")).cast("long").alias("words"),
-        ),
-    )
+    words = F.transform("_lines", lambda s: words_of(F.lower(s)))
+    return F.transform(words, lambda w: F.struct(F.xxhash64(host_of, F.array_join(w, " ")).alias("key"), F.size(w).cast("long").alias("words")))
 
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
     """doc_id, the measures, n_boilerplate_words and kept."""
     lines = docs.select("doc_id", "text", F.col(host).alias("_host"))
-    split = lines.withColumn("_lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.length(F.translate(s, SPACES, "")) > 0))
-    seen = split.select("doc_id", F.explode(F.array_distinct(F.transform(line_keys(split, "_host"), lambda x: x["key"]))).alias("key"))
-    frequent = (
-        seen.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > max_docs).select("key")
-    )
-    # rows of one document that occur more than once must not count twice: exact, on the few keys left
+    split = lines.withColumn("_lines", lines_of(F.col("text")))
+    seen = split.select("doc_id", F.explode(F.transform(line_keys("_host"), lambda x: x["key"])).alias("key"))
     frequent = (
-        seen.join(frequent, "key", "left_semi").groupBy("key", "doc_id").agg(F.lit(1).alias("_one"))
-        .groupBy("key").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > max_docs)
-        .select("key", F.lit(True).alias("_frequent"))
+        seen.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_docs"))
+        .filter(F.col("_docs") > max_docs).select("key", F.lit(True).alias("_frequent"))
     )
     measured = add_measures(lines).withColumn("_hash", F.xxhash64("text", "_host"))
     own = F.struct(*(F.col(c) for c in MEASURES))
     none = F.lit(None).cast("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean>")
     items = F.concat(
         F.array(F.struct(F.xxhash64(F.lit("document"), "doc_id", "_hash").alias("key"), F.lit(0).cast("long").alias("words"), own.alias("own"))),
-        F.transform(line_keys(measured, "_host"), lambda x: F.struct(x["key"].alias("key"), x["words"].alias("words"), none.alias("own"))),
+        F.transform(line_keys("_host"), lambda x: F.struct(x["key"].alias("key"), x["words"].alias("words"), none.alias("own"))),
     )
     rows = measured.select("doc_id", "_hash", F.explode(items).alias("_x")).select("doc_id", "_hash", "_x.*")
     joined = rows.join(frequent, "key", "left")
@@ -158,7 +147,7 @@ k AS (SELECT rid, doc_id, source, trim(regexp_replace(lower(line), '[\x20\x09-\x
 f AS (SELECT source, line FROM k GROUP BY source, line HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
 b AS (SELECT k.rid, CAST(sum(n) AS BIGINT) AS n FROM k JOIN f ON k.line = f.line AND k.source IS NOT DISTINCT FROM f.source GROUP BY k.rid),
 m AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
   coalesce(c.n, 0) AS n_repeat_words, coalesce(b.n, 0) AS n_boilerplate_words FROM w LEFT JOIN c USING (rid) LEFT JOIN b USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= {MIN_KEPT} * n_words AS kept, n_boilerplate_words FROM m
