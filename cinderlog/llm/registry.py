@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import bpe, quality, secrets, sharding, urlfilter
+from cinderlog.llm import bpe, quality, secrets, sharding, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_url_rules": urlfilter.op3_url_rules,
         "op7_line_frequency": quality.op7_line_frequency,
         "op8_segment_tree_bpe": bpe.op8_segment_tree_bpe,
+        "op9_deletion_variants": simhash.op9_deletion_variants,
     }
 
 
