@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import bpe, quality, secrets, sharding, simhash, urlfilter
+from cinderlog.llm import bpe, decontaminate, quality, secrets, sharding, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_blob_ledger": secrets.op1_blob_ledger,
         "op2_feistel_shards": sharding.op2_feistel_shards,
         "op3_url_rules": urlfilter.op3_url_rules,
+        "op5_ngram_hash_set": decontaminate.op5_ngram_hash_set,
         "op7_line_frequency": quality.op7_line_frequency,
         "op8_segment_tree_bpe": bpe.op8_segment_tree_bpe,
         "op9_deletion_variants": simhash.op9_deletion_variants,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_blob_ledger": secrets.ORACLE_SQL, "op3_url_rules": urlfilter.ORACLE_SQL, "op7_line_frequency": quality.ORACLE_SQL}
+    return {"op1_blob_ledger": secrets.ORACLE_SQL, "op3_url_rules": urlfilter.ORACLE_SQL, "op5_ngram_hash_set": decontaminate.ORACLE_SQL, "op7_line_frequency": quality.ORACLE_SQL}
