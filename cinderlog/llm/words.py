@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-PIECE = 1 << 22  # bytes hashed at once
+PIECE = 1 << 20  # bytes hashed at once
 WORD_BASE, RUN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -87,7 +87,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def spans_of(batch: pa.RecordBatch, column: str, most_bytes: int = PIECE, most_rows: int = 4096):
+def spans_of(batch: pa.RecordBatch, column: str, most_bytes: int = 2 * PIECE, most_rows: int = 4096):
     """The batch in slices of so many bytes of text (one row at least)."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(lengths), 0
