@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import bpe, decontaminate, quality, secrets, sharding, simhash, urlfilter
+from cinderlog.llm import bpe, decontaminate, langid, licenses, quality, secrets, sharding, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_blob_ledger": secrets.op1_blob_ledger,
         "op2_feistel_shards": sharding.op2_feistel_shards,
         "op3_url_rules": urlfilter.op3_url_rules,
+        "op4_output_codes": langid.op4_output_codes,
         "op5_ngram_hash_set": decontaminate.op5_ngram_hash_set,
         "op7_line_frequency": quality.op7_line_frequency,
         "op8_segment_tree_bpe": bpe.op8_segment_tree_bpe,
         "op9_deletion_variants": simhash.op9_deletion_variants,
+        "op10_licence_paragraphs": licenses.op10_licence_paragraphs,
     }
 
 
