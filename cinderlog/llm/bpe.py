@@ -21,6 +21,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CACHED = 1 << 19  # pieces in each of the two generations that a worker remembers
 NONE = 1 << 40  # above any rank
@@ -190,8 +191,9 @@ def _encoder(path: str, pattern: str, digests: bool):
 def tokenized(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with ``token_ids``."""
     default = vocabulary() if path is None or pattern is None else (path, pattern)
-    schema = docs.drop("token_ids").schema.add("token_ids", "array<int>")
-    return docs.drop("token_ids").mapInArrow(_encoder(path or default[0], pattern or default[1], False), schema)
+    docs = docs.drop("token_ids")
+    schema = docs.withColumn("token_ids", F.expr("cast(null as array<int>)")).schema
+    return docs.mapInArrow(_encoder(path or default[0], pattern or default[1], False), schema)
 
 
 def op8_segment_tree_bpe(spark, sf_dir: str) -> DataFrame:

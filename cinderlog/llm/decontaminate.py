@@ -177,53 +177,58 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     )
 
 
-def _marker(block):
-    """Adds the words that a block hits to the column _spans."""
+def _marker(block, spans_in: str):
+    """Adds the words that a block hits to a column of spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b0 = block.value
         for batch in batches:
             for b in W.spans_of(batch, "text"):
                 hit, first, _ = hits(*W.text_bytes(b.column("text")), b0)
-                spans = b.column("_spans").to_pylist()
+                spans = b.column(spans_in).to_pylist()
                 for i, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     if hit[s:e].any():
                         for x in spans[i]:
                             hit[s + x["start"] : s + x["end"]] = True
                         spans[i] = _runs(hit[s:e])
-                yield b.set_column(b.schema.get_field_index("_spans"), "_spans", pa.array(spans, _SPAN))
+                yield b.set_column(b.schema.get_field_index(spans_in), spans_in, pa.array(spans, _SPAN))
 
     return run
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes the words in _spans out of the texts."""
-    for batch in batches:
-        for b in W.spans_of(batch, "text"):
-            k, texts = b.schema.get_field_index("text"), b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("_spans").to_pylist()):
-                if spans:
-                    data, at = W.text_bytes(pa.array([texts[i]], pa.string()))
-                    starts, ends, _ = W.find_words(data, at, IS_WORD)
-                    raw, pos, out = data.tobytes(), 0, []
-                    for x in spans:
-                        out.append(raw[pos : int(starts[x["start"]])])
-                        pos = int(ends[x["end"] - 1])
-                    texts[i] = b"".join([*out, raw[pos:]]).decode()
-            yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type)).drop_columns(["_spans"])
+def _cutter(spans_in: str):
+    """Takes the words in the spans out of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in W.spans_of(batch, "text"):
+                k, texts = b.schema.get_field_index("text"), b.column("text").to_pylist()
+                for i, spans in enumerate(b.column(spans_in).to_pylist()):
+                    if spans:
+                        data, at = W.text_bytes(pa.array([texts[i]], pa.string()))
+                        starts, ends, _ = W.find_words(data, at, IS_WORD)
+                        raw, pos, out = data.tobytes(), 0, []
+                        for x in spans:
+                            out.append(raw[pos : int(starts[x["start"]])])
+                            pos = int(ends[x["end"] - 1])
+                        texts[i] = b"".join([*out, raw[pos:]]).decode()
+                yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type)).drop_columns([spans_in])
+
+    return run
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode: str = "documents", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without what the benchmark hits: the hit documents (mode documents) or just the hit words (mode spans)."""
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    marked, passes = docs.withColumn("_spans", F.expr(f"cast(array() as {SPANS})")), 0
+    spans = W.unused(docs.columns, "_spans")
+    marked, passes = docs.withColumn(spans, F.expr(f"cast(array() as {SPANS})")), 0
     for block in _blocks(benchmark, n, block_words):
         marked = stored(marked, "marked") if passes else marked  # one block in a worker at a time
-        marked, passes = marked.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(block)), marked.schema), passes + 1
+        marked, passes = marked.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(block), spans), marked.schema), passes + 1
     if mode == "documents":
-        return marked.filter(F.size("_spans") == 0).drop("_spans")
-    return marked.mapInArrow(_cutter, docs.schema)
+        return marked.filter(F.size(spans) == 0).drop(spans)
+    return marked.mapInArrow(_cutter(spans), docs.schema)
 
 
 def op5_ngram_hash_set(spark, sf_dir: str) -> DataFrame:

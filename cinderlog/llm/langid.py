@@ -207,8 +207,26 @@ def op4_output_codes(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "lang_second", "lead", "ambiguous")
 
 
-def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """docs without those that have no language: no letter in them."""
+def _sieve(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, least = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512) if model else ():
+                b = batch.slice(at, 512)
+                scores = np.full(b.num_rows, -1.0)
+                xs = [features(t.as_py()) for t in b.column("text")]
+                rows = [i for i, x in enumerate(xs) if x is not None]
+                if rows:
+                    scores[rows] = model.decode(np.stack([xs[i] for i in rows]))[1][:, 0]
+                yield b.filter(pa.array(scores >= least))
+
+    return run
+
+
+def identified(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """docs without those that get no language: no letter, or a score below least. Columns stay.
+
+    The model is learned from the labelled ones of docs, if no others are given.
+    """
     model = train((docs if labelled is None else labelled).select("doc_id", "text", "lang").filter(remainder() != 1))
-    out = predict(docs, model, docs.columns)
-    return out.filter(F.col("lang_pred") != UND).select(*docs.columns)
+    return docs.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast((model, least))), docs.schema)

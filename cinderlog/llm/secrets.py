@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.words import unused
+
 
 @dataclass(frozen=True)
 class SecretRule:
@@ -102,6 +104,7 @@ def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> Data
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(versions without the text, with blob_id and the findings of all current rules; the new ledger rows)."""
     content = F.coalesce(F.col(text), F.lit(""))
+    versions = versions.drop("blob_id", "findings", "_text")  # columns of these names are replaced
     addressed = versions.withColumns({"blob_id": F.sha2(content, 256), "_text": content})
     fresh = scan_unseen(addressed.select("blob_id", F.col("_text").alias("text")), ledger, rules)
     known = fresh if ledger is None else fresh.unionByName(ledger.select("blob_id", "rules", "findings"))
@@ -147,13 +150,19 @@ def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _redactor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        spans = b.column("findings").to_pylist()
-        texts = [redact(t, [(f["start"], f["end"]) for f in s or ()]) for t, s in zip(b.column(at).to_pylist(), spans)]
-        out = b.set_column(at, "text", pa.array(texts, b.schema.field(at).type))
-        yield out.drop_columns(["findings"])
+def _redactor(found: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, spans = b.schema.get_field_index("text"), b.column(found).to_pylist()
+            dirty = [i for i, s in enumerate(spans) if s]
+            if dirty:
+                texts = b.column(at).to_pylist()
+                for i in dirty:
+                    texts[i] = redact(texts[i], [(f["start"], f["end"]) for f in spans[i]])
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield b.drop_columns([found])
+
+    return run
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -161,13 +170,12 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     The findings of each distinct blob, few and small, are joined back to the rows by address.
     """
-    addressed = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    fresh = scan_unseen(addressed.select(F.col("_blob").alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")), None)
-    hits = fresh.filter(F.size("findings") > 0).select(F.col("blob_id").alias("_blob"), "findings")
-    joined = addressed.join(hits, "_blob", "left").drop("_blob")
-    schema = docs.schema
-    out = joined.mapInArrow(_redactor, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    blob, found = unused(docs.columns, "_blob"), unused(docs.columns, "_found")
+    addressed = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256))
+    fresh = scan_unseen(addressed.select(F.col(blob).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")), None)
+    hits = fresh.filter(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(found))
+    out = addressed.join(hits, blob, "left").drop(blob).mapInArrow(_redactor(found), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _spans_sql() -> str:

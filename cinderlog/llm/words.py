@@ -106,3 +106,11 @@ def covered(marks: np.ndarray, k: int) -> np.ndarray:
     np.add.at(steps, at, 1)
     np.add.at(steps, at + k, -1)
     return np.cumsum(steps[:n]) > 0
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
