@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cinderlog.functions.scratch import stored, stored_counted
 
 
+FILE_ROWS = 1_000_000  # of a stored table
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every end of a link; root is the least node of its component. links: a, b (long).
 
@@ -17,18 +20,19 @@ def components(links: DataFrame) -> DataFrame:
     node with very many links is split by adaptive execution. Nothing of the graph goes to the driver.
     """
     edges, n = stored_counted(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    roots = None
+    roots, most = None, 2 * n
     while n:
+        files, root_files = 1 + 2 * n // FILE_ROWS, 1 + most // FILE_ROWS  # no table in more, and so tiny, files than its rows ask for
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        parents = stored(ends.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("up")), "parents")
+        parents = ends.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("up"))
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parents = stored(parents.join(above, "up").select("node", F.col("top").alias("up")), "parents")
+        parents = stored(parents.join(above, "up").select("node", F.col("top").alias("up")).coalesce(files), "parents")
         if roots is None:
             roots = parents.select("node", F.col("up").alias("root"))
         else:
             step = parents.select(F.col("node").alias("root"), F.col("up").alias("_up"))
-            roots = stored(roots.join(step, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), "roots")
+            roots = stored(roots.join(step, "root", "left").select("node", F.coalesce("_up", "root").alias("root")).coalesce(root_files), "roots")
         of = lambda c: parents.select(F.col("node").alias(c), F.col("up").alias(f"_{c}"))
         moved = edges.join(of("a"), "a").join(of("b"), "b").filter("_a != _b")
-        edges, n = stored_counted(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
+        edges, n = stored_counted(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().coalesce(files), "links")
     return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0) if roots is None else roots
