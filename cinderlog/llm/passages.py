@@ -208,7 +208,8 @@ def removals(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     seeds = keyed.select("text", "t1", "t2").mapInArrow(_seeds(window, seed), "seed long, t1 long, t2 long")
-    recurring = seeds.groupBy("seed").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).filter("a < b").select("seed")
+    # tables of one row a key are stored, so that a join with them deals out both sides and can be split where a key is hot
+    recurring = stored(seeds.groupBy("seed").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).filter("a < b").select("seed"), "seeds")
     of_text = seeds.join(recurring, "seed").groupBy("t1", "t2").agg(F.collect_set("seed").alias("seeds"))
     distinct = keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_doc"), F.first("text").alias("text"))
     texts = stored(
@@ -218,16 +219,16 @@ def removals(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     )
     hot = texts.filter("seeds is not null and first_doc is not null")
     windows = hot.select("first_doc", "text", "seeds").mapInArrow(_windows(window, seed), f"wh long, doc {kind}")
-    owners = windows.groupBy("wh").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("wh", "owner")
+    owners = stored(windows.groupBy("wh").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("wh", "owner"), "owners")
     gone = windows.join(owners, "wh").filter("owner < doc").groupBy("doc").agg(F.collect_set("wh").alias("gone"))
     phrases = hot.select("first_doc", "text", "seeds").mapInArrow(_phrases(window, seed), f"seed long, doc {kind}, phrase binary")
-    dictionary = phrases.groupBy("seed").agg(F.min(F.struct("doc", "phrase")).alias("x")).select("seed", "x.phrase")
+    dictionary = stored(phrases.groupBy("seed").agg(F.min(F.struct("doc", "phrase")).alias("x")).select("seed", "x.phrase"), "phrases")
     wanted = hot.select(F.col("first_doc").alias("doc"), F.explode("seeds").alias("seed")).join(dictionary, "seed").groupBy("doc").agg(F.collect_set("phrase").alias("phrases"))
     located_in = hot.join(gone.join(wanted, "doc").withColumnRenamed("doc", "first_doc"), "first_doc")
     schema = f"t1 long, t2 long, first_doc {kind}, n_words long, full_sha256 string, n_removed long, kept_sha256 string"
     removed = located_in.select("t1", "t2", "first_doc", "n_words", "full_sha256", "text", "gone", "phrases").mapInArrow(_remover(window, seed), schema)
     small = texts.select("t1", "t2", "first_doc", "n_words", "full_sha256")
-    judged = small.join(removed.select("t1", "t2", "n_removed", "kept_sha256"), ["t1", "t2"], "left")
+    judged = stored(small.join(removed.select("t1", "t2", "n_removed", "kept_sha256"), ["t1", "t2"], "left"), "judged")
     rows = keyed.select("doc_id", "t1", "t2").join(judged, ["t1", "t2"])
     copy = F.col("doc_id") > F.col("first_doc")  # all its windows stand in an earlier row
     long_copy = copy & (F.col("n_words") >= window)
