@@ -16,15 +16,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every node takes the least of itself and its neighbours as parent, parents are followed one step
     further, and links are contracted to links between parents. Nodes per component shrink at least by half each
-    round. Minima are aggregated before they are shuffled, and joins are from many rows to one row a key, so a
-    node with very many links is split by adaptive execution. Nothing of the graph goes to the driver.
+    round. Minima are aggregated before they are shuffled. Joins are from many rows to one row a key, both read
+    from stored tables, so adaptive execution can split a node with very many links. Nothing of the graph goes to
+    the driver.
     """
     edges, n = stored_counted(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     roots, most = None, 2 * n
     while n:
         files, root_files = 1 + 2 * n // FILE_ROWS, 1 + most // FILE_ROWS  # no table in more, and so tiny, files than its rows ask for
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        parents = ends.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("up"))
+        parents = stored(ends.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("up")).coalesce(files), "parents")
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
         parents = stored(parents.join(above, "up").select("node", F.col("top").alias("up")).coalesce(files), "parents")
         if roots is None:

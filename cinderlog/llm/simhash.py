@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links(nodes, cap)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = stored(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # so that the next join can be split
     classes = placed.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
