@@ -6,8 +6,8 @@ boilerplate leaves fewer than ``min_kept`` of its words is depleted and rejected
 
 All of it is built-in expressions. Each document is exploded once into (line key, words), with one more row that
 carries the document's own measures, so that nothing is joined back to the table of texts. Line counts are
-aggregated before they are shuffled, and the join on line keys is a plain equi-join that adaptive execution can
-split where one line is hot. A document's lines meet again by (doc_id, hash of the text).
+aggregated before they are shuffled, and the frequent lines are stored, so that the join on line keys deals out both
+sides and adaptive execution can split it where one line is hot. A document's lines meet again by (doc_id, hash of the text).
 
 Defined results: null text has no words or lines; a null host is a host of its own; rows equal in doc_id, host
 and text are judged alike and all returned; documents without words fail the base rule; an empty table gives no
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.functions.scratch import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -104,10 +106,8 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_k
     lines = docs.select("doc_id", "text", F.col(host).alias("_host"))
     split = lines.withColumn("_lines", lines_of(F.col("text")))
     seen = split.select("doc_id", F.explode(F.transform(line_keys("_host"), lambda x: x["key"])).alias("key"))
-    frequent = (
-        seen.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_docs"))
-        .filter(F.col("_docs") > max_docs).select("key", F.lit(True).alias("_frequent"))
-    )
+    counted = seen.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_docs"))
+    frequent = stored(counted.filter(F.col("_docs") > max_docs).select("key"), "frequent").withColumn("_frequent", F.lit(True))
     measured = add_measures(lines).withColumn("_hash", F.xxhash64("text", "_host"))
     own = F.struct(*(F.col(c) for c in MEASURES))
     none = F.lit(None).cast("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean>")
