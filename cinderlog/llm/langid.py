@@ -45,23 +45,25 @@ def letter_table() -> np.ndarray:
 def features(text: str | None) -> np.ndarray | None:
     """Unit vector of the roots of hashed 1- to 3-gram counts, letters lower-cased, all else a space; None without a letter."""
     counts, some = np.zeros(FEATURES), False
-    low = (text or "").lower()
+    low, tail = (text or "").lower(), np.zeros(0, np.uint64)
     for at in range(0, len(low), CHUNK):
-        points = np.frombuffer(low[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = letter_table()[points]
-        some = some or bool(letters[:CHUNK].any())
+        some = some or bool(letters.any())
         c = np.where(letters, points, 32).astype(np.uint64)
-        keep = np.ones(len(c), bool)
-        keep[1:] = letters[1:] | letters[:-1]  # runs of others are one space
-        first = np.cumsum(keep)[min(CHUNK, len(c)) - 1] if len(c) else 0  # grams start in this chunk
-        c = c[keep]
+        keep = letters.copy()  # runs of others are one space
+        keep[1:] |= letters[:-1]
+        keep[0] |= not len(tail) or tail[-1] != 32
+        c = np.concatenate([tail, c[keep]])
         h = c * np.uint64(0x9E3779B97F4A7C15)
         for n in (1, 2, 3):
             if n > 1:
-                h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h[: max(0, len(c) - n + 1)] ^ c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            slots = (h[:first] + np.uint64(n * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(52)
+            new = h[max(0, len(tail) - n + 1) :]  # grams that end in this chunk
+            slots = (new + np.uint64(n * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(52)
             counts += np.bincount(slots.astype(np.int64), minlength=FEATURES)
+        tail = c[-2:]
     if not some:
         return None
     x = np.sqrt(counts)
