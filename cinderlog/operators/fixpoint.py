@@ -65,8 +65,23 @@ def doubled(program: Program, symbol: str) -> Program:
     return program
 
 
-def _rule_results(spark, rules, lookup, kinds=None) -> list[Relation]:
-    return [compile_rule(spark, r, lookup) for r in rules]
+#: Candidate rows of a round beyond which closing by p, p costs more than it saves in rounds.
+MANY_CANDIDATES = 30_000_000
+
+
+def linear_step(program: Program, symbol: str) -> Rule | None:
+    """For p <- e and p <- p, p over chains: the rule p <- p, e, which reaches the same fixpoint from any round on
+    (every pair of the rounds before has then been extended by all of p, so by e too). None for other rules."""
+    rules = program.rules_for(symbol)
+    bases = [r for r in rules if len(r.body) == 1 and r.body[0].symbol != symbol]
+    if len(rules) != 2 or len(bases) != 1:
+        return None
+    (base,), (step,) = bases, [r for r in rules if r is not bases[0]]
+    e = base.body[0].symbol
+    first = Rule(step.head, (step.body[0], Atom(e, step.body[1].terms))) if len(step.body) == 2 else None
+    if first is None or [a.symbol for a in step.body] != [symbol, symbol]:
+        return None
+    return first if doubled(Program([base, first]), symbol) == Program([base, step]) else None
 
 
 def infer_kinds(spark: SparkSession, program: Program, group: list[str], model: dict[str, Relation], empty) -> dict[str, tuple[str, ...]]:
@@ -142,6 +157,8 @@ def _first_solution(spark, program, group, rules, recursive, kinds, model, empty
             whole = union(([model[p]] if p in model else []) + got, kinds[p])
             model[p] = Relation(whole.df.distinct(), kinds[p])
         return
+    # facts given for p itself are not made of e
+    plain = linear_step(program, group[0]) if len(group) == 1 and group[0] not in model else None
     grown, delta = {}, {}
     for p in group:
         exits = [r for r in program.rules_for(p) if not any(a.symbol in group for a in r.body)]
@@ -150,7 +167,7 @@ def _first_solution(spark, program, group, rules, recursive, kinds, model, empty
         df, n = stored_counted(whole.df.distinct(), f"{len(group)}-start")
         delta[p] = (Relation(df, kinds[p]), n)
         grown[p] = _Grown([delta[p][0]])
-    _rounds(spark, program, group, kinds, model, grown, delta)
+    _rounds(spark, program, group, kinds, model, grown, delta, plain=plain)
 
 
 def _update(spark, program, group, rules, kinds, model, delta, empty) -> None:
@@ -177,10 +194,19 @@ def _update(spark, program, group, rules, kinds, model, delta, empty) -> None:
         delta[p] = union(parts, kinds[p])
 
 
-def _rounds(spark, program, group, kinds, model, grown, delta, added=None) -> None:
-    """Rounds until nothing new appears. delta: the rows of the last round and their number."""
+def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain=None) -> None:
+    """Rounds until nothing new appears. delta: the rows of the last round and their number.
+
+    plain: a rule that may take the place of the recursive ones once their rounds would make too many candidates.
+    """
     recursive = [(r, k) for p in group for r in program.rules_for(p) for k, a in enumerate(r.body) if a.sign and a.symbol in group]
+    known, width = sum(n for _, n in delta.values()), None
     while any(n for _, n in delta.values()):
+        changed = sum(n for _, n in delta.values())
+        if plain is not None and 2 * changed * known > MANY_CANDIDATES and known > changed:
+            width = width or max(1, model[plain.body[1].symbol].df.select("c0").distinct().count())
+            if 2 * changed * known / width > MANY_CANDIDATES:
+                recursive, plain = [(plain, 0)], None
         whole = {p: grown[p].relation() for p in group}
         found: dict[str, list[Relation]] = {}
         for rule, k in recursive:
@@ -198,6 +224,7 @@ def _rounds(spark, program, group, kinds, model, grown, delta, added=None) -> No
             df, n = stored_counted(without(union(parts, kinds[p]), whole[p]).df, "round")
             fresh[p] = (Relation(df, kinds[p]), n)
         delta = {p: fresh.get(p, (delta[p][0], 0)) for p in group}
+        known += sum(n for _, n in delta.values())
         for p, (rel, n) in delta.items():
             if n:
                 grown[p].parts.append(rel)

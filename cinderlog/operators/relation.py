@@ -18,6 +18,10 @@ UNIT = "__unit"  #: the hidden column of a relation without columns
 class Relation:
     df: DataFrame
     kinds: tuple[str, ...]
+    repeats: bool = False  # rows may repeat: inserted tables, which rules need not make distinct first
+
+    def as_set(self) -> Relation:
+        return Relation(self.df.distinct(), self.kinds) if self.repeats else self
 
     @property
     def columns(self) -> list[str]:
@@ -25,13 +29,13 @@ class Relation:
 
     @staticmethod
     def from_df(df: DataFrame) -> Relation:
-        """Columns by position; integers become long, others keep their type. Rows are made distinct."""
+        """Columns by position; integers become long, others keep their type. Rows may repeat: heads drop repeats."""
         kinds = tuple(kind_of_type(f.dataType) for f in df.schema.fields)
         cols = [
             (F.col(f"`{f.name}`").cast(SPARK[k]) if k == "long" else F.col(f"`{f.name}`")).alias(f"c{i}")
             for i, (f, k) in enumerate(zip(df.schema.fields, kinds))
         ]
-        return Relation(df.select(*cols).distinct(), kinds)
+        return Relation(df.select(*cols), kinds, True)
 
     @staticmethod
     def from_rows(spark: SparkSession, rows: list[tuple], arity: int) -> Relation:
@@ -49,7 +53,7 @@ class Relation:
     def widened(self, kinds: tuple[str, ...]) -> Relation:
         if kinds == self.kinds:
             return self
-        return Relation(self.df.select(*(convert(F.col(c), a, b).alias(c) for c, a, b in zip(self.columns, self.kinds, kinds))), kinds)
+        return Relation(self.df.select(*(convert(F.col(c), a, b).alias(c) for c, a, b in zip(self.columns, self.kinds, kinds))), kinds, self.repeats)
 
 
 def common_kinds(relations: list[Relation]) -> tuple[str, ...]:

@@ -64,7 +64,7 @@ class Runtime:
             rows = [tuple(v for _, v in key) for key in staged]
             out.setdefault(p, []).append(Relation.from_rows(self.spark, rows, self.arity[p]))
         self.rows, self.frames = {}, {}
-        return {p: parts[0] if len(parts) == 1 else Relation(union(parts).df.distinct(), common_kinds(parts)) for p, parts in out.items() if parts}
+        return {p: parts[0] if len(parts) == 1 else Relation(union(parts).df, common_kinds(parts), True) for p, parts in out.items() if parts}
 
     def poll(self) -> None:
         """Takes in the staged facts and derives all that follows."""
@@ -76,7 +76,7 @@ class Runtime:
         for p, rel in staged.items():
             if p in before:
                 both = union([before[p], rel])
-                merged[p] = Relation(both.df.distinct(), both.kinds)
+                merged[p] = Relation(both.df, both.kinds, True)
             else:
                 merged[p] = rel
         negated = {a.symbol for r in self.program for a in r.body if not a.sign}
@@ -103,13 +103,14 @@ class Runtime:
         """A whole relation."""
         if not self.safe():
             raise RuntimeError(STALE)
-        return self.relation(relation).df
+        return self.relation(relation).as_set().df
 
     def query(self, query: Query | str) -> DataFrame:
         query = parse_query(query) if isinstance(query, str) else query
         if not self.safe():
             raise RuntimeError(STALE)
-        return select_pattern(self.relation(query.symbol), query.matchers)
+        rel = self.relation(query.symbol)
+        return Relation(select_pattern(rel, query.matchers), rel.kinds, rel.repeats).as_set().df
 
     def contains(self, relation: str, fact) -> bool:
         if not self.safe():
