@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 1 << 19  # pieces in each of the two generations that a worker remembers
+CACHED = 1 << 18  # pieces in each of the two generations that a worker remembers
 NONE = 1 << 40  # above any rank
 
 # Code points that became letters and numbers after Unicode 16, by whose tables texts are split.
