@@ -5,8 +5,8 @@ predicts which side a text is on. A text gets the language whose codeword is nea
 of the logistic loss of the margin against the codeword's bit, each weighted by how well that bit's classifier
 does on that language. A text is ambiguous where the two nearest codewords are about as near, or none is near.
 
-Training takes at most SAMPLE labelled documents of each language, those with the least hash of doc_id; features are
-made by the workers and only those of the sample go to the driver. Prediction reads whole texts and only texts.
+Training takes at most SAMPLE labelled documents of each language, those with the least hash; features are made
+by the workers, and only those of the sample go to the driver. Prediction reads whole texts and only texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows without doc_id are not held out;
 without labelled texts every text is ``und``; repeated rows are judged each; an empty table gives no rows; extra
@@ -153,7 +153,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     part, pick = 1_000_000, F.lit(False)
     for lang, n in sizes.items():
         pick = F.when(F.col("lang") == lang, F.pmod("h", F.lit(part)) < math.ceil(part * min(1.0, 2 * sample / n))).otherwise(pick)
-    rows = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).filter(pick)
+    # rows that repeat have one hash, and count once
+    rows = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).filter(pick).dropDuplicates(["lang", "h"])
     got = sorted(
         ((r.lang, r.h % part, r.h, bytes(r.x)) for r in rows.mapInArrow(_features, "lang string, h long, x binary").filter("x is not null").collect()),
     )
