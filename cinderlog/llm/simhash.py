@@ -143,9 +143,10 @@ def links(nodes: DataFrame, cap: int = CAP) -> DataFrame:
     out = lambda rows, first: rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(first), "a long, b long")
     if dense.isEmpty():
         return out(filed, True)
-    heavy = dense.select(
+    heavy = dense.select(  # stored, so that the joins with it can be split where a key is hot
         F.explode(F.expr("transform(sequence(0, 32), i -> shiftleft(cast(s * 64 + i as bigint), 32) | (v & ~if(i < 32, shiftleft(1L, i), 0L)))")).alias("key")
     ).distinct()
+    heavy = stored(heavy, "heavy")
     light = filed.join(heavy, "key", "left_anti")
     deep = filed.join(heavy, "key", "left_semi").select("fp", F.explode(second_keys()).alias("key"))
     return out(light, True).union(out(deep, False))
