@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions.scratch import stored
 from cinderlog.llm import words as W
+from cinderlog.llm.rows import numbers
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -164,8 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
         "concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, s.end)))), "
         "concat(out, array(s))))"
     )
-    one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", one.alias("_i")).drop("_i")
+    return numbers(merged, F.lit(1), F.col("copies"), "_copy").select("doc_id", "n_words", joined.alias("spans"), "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions.scratch import stored
+from cinderlog.llm.rows import numbers
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -124,7 +125,7 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_k
         *(F.max(f"own.{c}").alias(c) for c in MEASURES),
     )
     cut = F.floor(F.col("_cut") / F.col("_copies")).cast("long")
-    out = summed.select("doc_id", *MEASURES, cut.alias("n_boilerplate_words"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_i")).drop("_i")
+    out = numbers(summed, F.lit(1), F.col("_copies"), "_copy").select("doc_id", *MEASURES, cut.alias("n_boilerplate_words"))
     depleted = F.col("n_words") - F.col("n_boilerplate_words") < F.lit(min_kept) * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 

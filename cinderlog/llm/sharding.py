@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.llm.rows import numbers
+
 ROUND_KEYS = (11, 23, 37, 41, 59, 61, 83, 97)  # the key of the permutation
 BUCKETS = 4096  # of the numbering: bounds the table of offsets, whatever the input's size
 
@@ -38,8 +40,8 @@ def numbered(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataF
     offsets = whole.select("_bucket", (order - F.col("_size")).alias("_offset"), F.expr("sum(_size) over ()").alias("n_rows"))
     ends = F.expr(f"sum(_n) over (partition by _bucket order by {', '.join(f'`{c}`' for c in columns)} rows between unbounded preceding and current row)")
     placed = counted.withColumn("_end", ends).join(F.broadcast(offsets), "_bucket")
-    numbers = F.sequence(F.col("_offset") + F.col("_end") - F.col("_n"), F.col("_offset") + F.col("_end") - 1)
-    return placed.select(*columns, "n_rows", F.explode(numbers).alias("row_number"))
+    end = F.col("_offset") + F.col("_end")
+    return numbers(placed, end - F.col("_n"), end - 1, "row_number").select(*columns, "n_rows", "row_number")
 
 
 def sides(n: Column) -> tuple[Column, Column]:
