@@ -42,12 +42,16 @@ def letter_table() -> np.ndarray:
     return _LETTER[0]
 
 
+def _points(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Unit vector of the roots of hashed 1- to 3-gram counts, letters lower-cased, all else a space; None without a letter."""
     counts, some = np.zeros(FEATURES), False
     low, tail = (text or "").lower(), np.zeros(0, np.uint64)
     for at in range(0, len(low), CHUNK):
-        points = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = _points(low[at : at + CHUNK])
         letters = letter_table()[points]
         some = some or bool(letters.any())
         c = np.where(letters, points, 32).astype(np.uint64)
@@ -214,8 +218,11 @@ def _sieve(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, least = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512) if model else ():
+            for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
+                if model is None:
+                    yield b.filter(pa.array([bool(letter_table()[_points(t.as_py())].any()) for t in b.column("text")], pa.bool_()))
+                    continue
                 scores = np.full(b.num_rows, -1.0)
                 xs = [features(t.as_py()) for t in b.column("text")]
                 rows = [i for i, x in enumerate(xs) if x is not None]
@@ -229,7 +236,8 @@ def _sieve(shared):
 def identified(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """docs without those that get no language: no letter, or a score below least. Columns stay.
 
-    The model is learned from the labelled ones of docs, if no others are given.
+    The model is learned from the labelled ones of docs, if no others are given; where none is labelled, no language is
+    told from another and only documents without a letter go.
     """
     model = train((docs if labelled is None else labelled).select("doc_id", "text", "lang").filter(remainder() != 1))
     return docs.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast((model, least))), docs.schema)
