@@ -5,8 +5,8 @@ Words are runs of ASCII letters and digits, A-Z lower-cased, and of any other ch
 sorted hashes with the windows' words. Workers hash the windows of whole documents, look them up, and compare the
 words of every hit, so hash collisions change nothing.
 
-The set is built in blocks of items with at most BLOCK_WORDS words each (or one item), whatever the benchmark's
-size: one block is one narrow pass without a shuffle; with more, each block is one pass over the documents, of
+The set is built in blocks of items with at most BLOCK_WORDS words each, whatever the benchmark's size (an item of more
+is cut into parts that overlap by a window less a word, so that each of its windows is in one part): one block is one narrow pass without a shuffle; with more, each block is one pass over the documents, of
 which only rows with hits are kept, and hits are merged by (doc_id, hash of the text).
 
 Defined results: null and empty texts have no words; items without words hit nothing; items without an id mark
@@ -130,16 +130,25 @@ def _scanner(block, only_hits: bool):
     return run
 
 
+def _parts(text: str | None, n: int, most: int) -> list[tuple[str | None, int]]:
+    """The text in parts of at most so many words (n at least) that have its windows between them, with their numbers of words."""
+    words, most = bytes_words(text), max(n, most)
+    if len(words) <= most:
+        return [(text, len(words))]
+    cuts = [words[at : at + most] for at in range(0, len(words) - n + 1, most - n + 1)]
+    return [(b" ".join(c).decode(), len(c)) for c in cuts]
+
+
 def _blocks(benchmark: DataFrame, n: int, block_words: int):
     """Blocks of items, read one at a time."""
     items, size = [], 0
     for row in benchmark.select("item_id", "text").distinct().toLocalIterator():
-        own = len(bytes_words(row.text))
-        if items and size + own > block_words:
-            yield Block.of(items, n)
-            items, size = [], 0
-        items.append((row.item_id, row.text))
-        size += own
+        for text, own in _parts(row.text, n, block_words):
+            if items and size + own > block_words:
+                yield Block.of(items, n)
+                items, size = [], 0
+            items.append((row.item_id, text))
+            size += own
     yield Block.of(items, n)
 
 
