@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinderlog.llm import bpe, decontaminate, langid, passages, secrets, simhash, words
+from cinderlog.llm import bpe, decontaminate, graph, langid, passages, secrets, simhash, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,6 +102,8 @@ def test_languages(spark):
     assert kept.columns == [*docs.columns, "score"] and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got} - {900, 901}
     assert langid.predict(docs, None, ["doc_id"]).select("lang_pred").distinct().head()[0] == "und"
     assert langid.identified(docs.limit(0)).count() == 0
+    unlabelled = langid.identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.doc_id for r in unlabelled.collect()} == {r.doc_id for r in got} - {900, 901}
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6, 12])
@@ -156,7 +159,7 @@ ITEMS = [(2, "a b c d e f"), (10, "Short item"), (10, "Short item"), (3, None),
 DOCS5 = EDGES + ["A, b! C d e", "x a b c d e f a b c", "the SHORT\nitem item", "é Ü x y z", "É ü x y", "nobody owns this one here", "z z z z", "a b c d", "short", "item short item"]
 
 
-@pytest.mark.parametrize("block", [1, 1_000_000])
+@pytest.mark.parametrize("block", [1, 5, 1_000_000])
 def test_decontamination(spark, block):
     docs, bench = frame(spark, DOCS5), spark.createDataFrame(ITEMS, "item_id long, text string")
     found = decontaminate.contamination(docs, bench, 4, block)
@@ -322,6 +325,25 @@ def test_dense_prints(spark):
         assert len(set(zip(got, classes))) == len(set(got)) == len(set(classes))
 
 
+def test_shuffled_order_is_a_bijection(spark):
+    xs = [0, 1, -1, 2**63 - 1, -(2**63), 1 << 32, -(1 << 32), *range(-500, 500)]
+    nodes = spark.createDataFrame([(x,) for x in xs], "x long")
+    for turn in (0, 1, 3):
+        rows = nodes.select("x", graph.shuffled(F.col("x"), turn).alias("y")).withColumn("z", graph.unshuffled(F.col("y"), turn)).collect()
+        assert all(r.x == r.z for r in rows) and len({r.y for r in rows}) == len(set(xs))
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, put = [], graph.stored_counted
+    monkeypatch.setattr(graph, "stored_counted", lambda df, name: rounds.append(name) or put(df, name))
+    chain = [(i, i + 1) for i in range(400)] + [(-i, -i - 1) for i in range(1, 100)]
+    links = spark.createDataFrame([*chain, (7, 7), (3, 2), (900, 800)], "a long, b long")
+    roots = {r.node: r.root for r in graph.components(links).collect()}
+    assert set(roots) == {*range(401), *range(-100, 0), 800, 900}
+    assert len({roots[i] for i in range(401)}) == len({roots[-i] for i in range(1, 101)}) == 1 and len(set(roots.values())) == 3
+    assert all(roots[r] == r for r in roots.values()) and len(rounds) < 25
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     rows = lang_rows(60) + [(900, None, "en", "s", 0), (901, "!", "en", "s", 0)]
