@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = "/tmp/checkpoints"
+_AGAIN = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Sort|Deduplicate|Generate|MapIn\w+)\b", re.M)  # operators of optimized plans
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +40,8 @@ def stored_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     seen = Observation()
     out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
     return out, int(seen.get.get("n", 0))
+
+
+def costly(df: DataFrame) -> bool:
+    """Whether each further use joins, aggregates or sorts again, rather than just scan, filter and project."""
+    return bool(_AGAIN.search(df._jdf.queryExecution().optimizedPlan().toString()))

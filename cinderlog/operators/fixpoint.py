@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-from cinderlog.functions.scratch import stored_counted
+from cinderlog.functions.scratch import costly, stored, stored_counted
 from cinderlog.operators.compile import compile_rule, without
 from cinderlog.operators.relation import Relation, common_kinds, union
 from cinderlog.plans.analysis import components
@@ -194,6 +194,15 @@ def _update(spark, program, group, rules, kinds, model, delta, empty) -> None:
         delta[p] = union(parts, kinds[p])
 
 
+def _keep_outside(rules: list[Rule], group, model: dict[str, Relation]) -> None:
+    """Stores what the rules read from outside the group in every round, where it is more than a scan: a view is
+    then made once, not once a round."""
+    for symbol in {a.symbol for r in rules for a in r.body} - set(group):
+        rel = model[symbol]
+        if costly(rel.df):
+            model[symbol] = Relation(stored(rel.df, "outside"), rel.kinds, rel.repeats)
+
+
 def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain=None) -> None:
     """Rounds until nothing new appears. delta: the rows of the last round and their number.
 
@@ -201,9 +210,12 @@ def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain
     """
     recursive = [(r, k) for p in group for r in program.rules_for(p) for k, a in enumerate(r.body) if a.sign and a.symbol in group]
     known, width = sum(n for _, n in delta.values()), None
+    if known:
+        _keep_outside([r for r, _ in recursive], group, model)
     while any(n for _, n in delta.values()):
         changed = sum(n for _, n in delta.values())
         if plain is not None and 2 * changed * known > MANY_CANDIDATES and known > changed:
+            _keep_outside([plain], group, model)
             width = width or max(1, model[plain.body[1].symbol].df.select("c0").distinct().count())
             if 2 * changed * known / width > MANY_CANDIDATES:
                 recursive, plain = [(plain, 0)], None
