@@ -14,6 +14,12 @@ has at most 2**18: bounded whatever the input, and no pair is lost. Classes are
 Defined results: null and empty texts and texts without words have fingerprint 0 and link like any others; repeated
 rows get one class; rows without doc_id don't count for a class's least id (a class of such rows alone has
 none); an empty table gives no rows; extra columns are ignored.
+
+The above is op9. one_of_similar() is the pipeline's stage: texts whose sets of LONG-word shingles have a Jaccard similarity of
+LEAST or more are linked, all of them and no others. At that similarity fingerprints differ by about 10 bits, which no
+segments find, so fingerprints serve to link groups of near copies cheaply, and the other pairs are found by a
+prefix filter: two sets that similar share one of their first n - ceil(LEAST n) + 1 shingles in any common order. The order
+is by hash, shingles of over HEAVY texts last. Every candidate, of either kind, is compared by its shingles.
 """
 
 from __future__ import annotations
@@ -28,12 +34,16 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions.scratch import stored
 from cinderlog.llm.graph import components
+from cinderlog.llm.words import unused
 
 SHINGLE = 3  # words
 SEED = 42
 DISTANCE = 3  # bits
 CAP = 2000  # distinct fingerprints of a segment value beyond which its buckets are cut further
 PART = 1 << 16  # shingles counted at once
+LONG, LEAST = 5, 0.8  # words of a shingle and Jaccard similarity of near-duplicates in the pipeline
+HEAVY = 1000  # texts with a shingle in their prefix beyond which it comes last
+EPS = 1e-9
 
 
 def fingerprint(text: str | None) -> int:
@@ -163,6 +173,169 @@ def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, size: int = LONG) -> list[bytes]:
+    """A text of fewer words is one shingle."""
+    words = (text or "").encode().lower().split()
+    return list(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else [b" ".join(words)]
+
+
+def _hashes(text: str | None, size: int) -> np.ndarray:
+    hash_of = xxhash.xxh64_intdigest
+    return np.array([hash_of(s, SEED) for s in shingles(text, size)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PART):
+        counts += np.unpackbits(hashes[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def prefix_size(n: int, least: float) -> int:
+    return n - int(np.ceil(least * n - EPS)) + 1
+
+
+def _described(size: int, least: float):
+    """th, text, fp, n (distinct shingles), prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                prints, ns, prefixes = [], [], []
+                for t in b.column("text"):
+                    hashes = _hashes(t.as_py(), size)
+                    distinct = np.unique(hashes)
+                    prints.append(_majority(hashes))
+                    ns.append(len(distinct))
+                    prefixes.append(distinct[: prefix_size(len(distinct), least)].view(np.int64))
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+                yield pa.RecordBatch.from_arrays([b.column("th"), b.column("text"), pa.array(prints, pa.int64()), pa.array(ns, pa.int64()), lists], ["th", "text", "fp", "n", "prefix"])
+
+    return run
+
+
+def _reordered(size: int, least: float, heavy: np.ndarray):
+    """Prefixes with a heavy shingle are made anew, heavy ones last. heavy: sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text"):
+                distinct = np.unique(_hashes(t.as_py(), size))
+                late = np.isin(distinct, heavy)
+                out.append(np.concatenate([distinct[~late], distinct[late]])[: prefix_size(len(distinct), least)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("th"), b.column("class"), b.column("n"), pa.array(out, pa.list_(pa.int64()))], ["th", "class", "n", "prefix"])
+
+    return run
+
+
+def _meetings(least: float):
+    """Streams rows sorted by key and class and yields pairs of a bucket that are of two classes and not too unlike in size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "class", "th", "n")
+        held = [np.zeros(0, np.int64)] * 4
+        last, batches = False, iter(batches)
+
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        while not last:
+            b = next(batches, None)
+            last = b is None
+            if not last:
+                held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, names)]
+            keys = held[0]
+            cut = len(keys) if last else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
+            if not cut:
+                continue
+            (keys, classes, ths, ns), held = [h[:cut] for h in held], [h[cut:] for h in held]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            ends = np.append(starts[1:], cut)
+            look = classes[starts] != classes[ends - 1]
+            starts, ends = starts[look], ends[look]
+            two = ends - starts == 2
+            x, y = starts[two], starts[two] + 1
+            near = np.minimum(ns[x], ns[y]) >= least * np.maximum(ns[x], ns[y]) - EPS
+            yield out(ths[x[near]], ths[y[near]])
+            found, size = [], 0
+            for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
+                at = s + np.searchsorted(classes[s:e], classes[s:e], "right")
+                for i in range(s, int(at.searchsorted(e)) + s):
+                    j = np.arange(at[i - s], e)
+                    j = j[np.minimum(ns[j], ns[i]) >= least * np.maximum(ns[j], ns[i]) - EPS]
+                    found.append((np.full(len(j), ths[i]), ths[j]))
+                    size += len(j)
+                    if size > PART:
+                        yield out(*map(np.concatenate, zip(*found)))
+                        found, size = [], 0
+            if size:
+                yield out(*map(np.concatenate, zip(*found)))
+
+    return run
+
+
+def _alike(size: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, frozenset()
+        for batch in batches:
+            a, b, keep = batch.column("a"), batch.column("b"), []
+            for i in range(batch.num_rows):
+                if (key := b[i].as_py()) != last:  # rows with the same b mostly follow each other
+                    last, of_last = key, frozenset(shingles(batch.column("text_b")[i].as_py(), size))
+                other = set(shingles(batch.column("text_a")[i].as_py(), size))
+                both = len(other & of_last)
+                keep.append(both >= least * (len(other) + len(of_last) - both) - EPS)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    return run
+
+
+def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
+    """(node, root) for every text that is similar to another; root is one node of its class. texts: th (long, distinct), text."""
+    base = stored(texts.mapInArrow(_described(size, least), "th long, text string, fp long, n long, prefix array<long>"), "texts")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs, "candidates")
+        of = lambda c: base.select(F.col("th").alias(c), F.col("text").alias(f"text_{c}"))
+        return stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike(size, least), "a long, b long"), name)
+
+    reps = stored(base.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
+    rep = lambda c: reps.select(F.col("fp").alias(c), F.col("rep").alias(f"th_{c}"))
+    bits = links(reps.select("fp")).filter("a != b").distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.col("th_a").alias("a"), F.col("th_b").alias("b"))
+    same = base.select("fp", "th").join(reps, "fp").filter("th != rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    close = verified(bits.union(same), "close")
+
+    counted = base.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
+    late = np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64).view(np.uint64))
+    classes = stored(components(close).select(F.col("node").alias("th"), F.col("root").alias("_root")), "classes")
+    rows = base.join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
+    few = ["th", "class", "n", "prefix"]
+    if len(late):
+        heavy_keys = F.lit(late.view(np.int64).tolist())
+        rows = rows.withColumn("_late", F.arrays_overlap("prefix", heavy_keys))
+        anew = rows.filter("_late").select("th", "class", "n", "text").mapInArrow(_reordered(size, least, late), "th long, class long, n long, prefix array<long>")
+        rows = rows.filter("not _late").select(*few).union(anew)
+    filed = rows.select("th", "class", "n", F.explode("prefix").alias("key")).select("key", "class", "th", "n")
+    met = filed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meetings(least), "a long, b long").distinct()
+    return components(close.union(verified(met, "alike")))
+
+
+def one_of_similar(docs: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
+    """docs without near-duplicates by exact shingle similarity: of each class the row with the least id stays. Rows without an id stay."""
+    th, root = unused(docs.columns, "_th"), unused(docs.columns, "_root")
+    text = F.coalesce("text", F.lit(""))
+    roots = similar_texts(docs.select(F.xxhash64(text).alias("th"), text.alias("text")).dropDuplicates(["th"]), size, least, heavy)
+    rows = docs.select("doc_id", F.xxhash64(text).alias(th))
+    placed = rows.join(roots.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
+    first = placed.filter("doc_id is not null").groupBy(root).agg(F.min(F.struct("doc_id", th)).alias("x")).select("x.*")
+    kept = docs.withColumn(th, F.xxhash64(text)).join(first, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
+    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each class the row with the least id stays. Rows without an id stay."""
     keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()

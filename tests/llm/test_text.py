@@ -344,6 +344,38 @@ def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
     assert all(roots[r] == r for r in roots.values()) and len(rounds) < 25
 
 
+def brute_similar(texts):
+    sets = [set(simhash.shingles(t)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("heavy", [3, 1000])
+def test_edited_copies_go(spark, heavy):
+    rng = random.Random(9)
+    texts = [None, "", " ", "one two", "One  two", "x"]
+    for g in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([6, 60, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            edited = list(base)
+            for _ in range(max(1, len(base) * rng.randrange(5) // 200)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(4000)}"
+            texts.append(" ".join(edited + [f"t{i}" for i in range(rng.randrange(len(base) // 6 + 1))]))
+    texts += [f"shared line of many documents in the corpus own{i}" for i in range(12)] + texts[6:9]
+    classes = brute_similar(texts)
+    want = sorted(min(i for i, k in enumerate(classes) if k == c) for c in set(classes))
+    docs = frame(spark, texts, "_th _root")
+    assert sorted(r.doc_id for r in simhash.one_of_similar(docs, heavy=heavy).collect()) == want
+    prints = brute_classes([brute_print(t) for t in texts])
+    assert len(want) < len(set(prints))  # more than three bits of three-word shingles find
+    assert simhash.one_of_similar(docs.limit(0)).count() == 0
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     rows = lang_rows(60) + [(900, None, "en", "s", 0), (901, "!", "en", "s", 0)]
