@@ -50,6 +50,17 @@ RULES = (
     SecretRule("forge", 1, r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     SecretRule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyJ",)),
 )
+_GAP = r"(?:\s|\\[nr]|[>#*/|])*"  # between lines, whatever stands before them; line ends may be escaped
+#: A whole private key: to the END line that matches, or else through header fields and base64 lines.
+PEM = SecretRule(
+    "pem", 2,
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END \1PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Comment|Content-Domain): [^\n\\]*)*(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}}(?![^\s\\\"']))*"
+    rf"(?:(?<=[A-Za-z0-9+/]{{16}})(?:\s*\n|\\[nr]){_GAP}[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:\n|\Z)|\\[nr]|[\"']))?)",
+    0, 1, ("-----BEGIN ",),
+)
+#: What redaction takes out. RULES are what op1 reports, whose SQL has the header line as pem.
+REDACTED = tuple(PEM if r.kind == "pem" else r for r in RULES)
 BASE_KINDS = ("assign", "access", "hex")
 FINDING = "struct<kind:string,start:bigint,end:bigint>"
 LEDGER = f"blob_id string, rules array<string>, findings array<{FINDING}>"
@@ -172,7 +183,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     blob, found = unused(docs.columns, "_blob"), unused(docs.columns, "_found")
     addressed = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256))
-    fresh = scan_unseen(addressed.select(F.col(blob).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")), None)
+    fresh = scan_unseen(addressed.select(F.col(blob).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")), None, REDACTED)
     hits = fresh.filter(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(found))
     out = addressed.join(hits, blob, "left").drop(blob).mapInArrow(_redactor(found), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

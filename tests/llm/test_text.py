@@ -77,6 +77,19 @@ def test_redaction(spark):
     assert got[9].text == "token=short [SECRET]" and got[9].n_chars == len(got[9].text)
 
 
+def test_whole_keys_are_redacted(spark):
+    body = ["MIIEpAIBAAKCAQEA7bq9" * 3 + "Ab+/"] * 5 + ["Zk3/qA=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0123456789ABCDEF", ""]
+    texts = ["\n".join(["before", head, *f, *body, *e, "after it"]) for f in ([], fields) for e in ([end], [])]
+    texts += [f'k = "{head}\\n' + "\\n".join(body) + '\\n"\nafter it', "\r\n".join(["before", head, *body, end, "after it"]), "\n".join(["before", head, "# " + body[0], "after it"])]
+    texts += [f"{head} then plain words", "\n".join([head, *body, end, "between", head, *body, end])]
+    got = {r.doc_id: r.text for r in secrets.redacted(frame(spark, texts)).collect()}
+    assert all("MII" not in t and "Zk3" not in t for t in got.values())
+    assert got[0] == got[2] == "before\n[SECRET]\nafter it" and got[1] == got[3] == got[0] and got[4].endswith('\nafter it') and got[5] == "before\r\n[SECRET]\r\nafter it"
+    assert got[6] == "before\n[SECRET]\nafter it" and got[7] == "[SECRET] then plain words" and got[8] == "[SECRET]\nbetween\n[SECRET]"
+
+
 # -- language ID ---------------------------------------------------------------------------------------------
 def lang_rows(n=240):
     rng = random.Random(2)
