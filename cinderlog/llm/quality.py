@@ -4,10 +4,12 @@ Cross-document part: every line with a word is normalised (lower case, white spa
 its host; a line on more than ``max_docs`` distinct documents of one host is boilerplate; a document of which
 boilerplate leaves fewer than ``min_kept`` of its words is depleted and rejected.
 
-All of it is built-in expressions. Each document is exploded once into (line key, words), with one more row that
-carries the document's own measures, so that nothing is joined back to the table of texts. Line counts are
-aggregated before they are shuffled, and the frequent lines are stored, so that the join on line keys deals out both
-sides and adaptive execution can split it where one line is hot. A document's lines meet again by (doc_id, hash of the text).
+without_boilerplate() takes the boilerplate lines out of the texts and rejects depleted documents; judge() says how much
+that is. Both read the same marks: the numbers of a document's boilerplate lines.
+
+All of it is built-in expressions. Line counts are aggregated before they are shuffled, and the frequent lines are
+stored, so that the join on line keys deals out both sides and adaptive execution can split it where one line is hot. Marks are joined
+back to documents by a hash of doc_id, text and host; judge() carries no texts there.
 
 Defined results: null text has no words or lines; a null host is a host of its own; rows equal in doc_id, host
 and text are judged alike and all returned; documents without words fail the base rule; an empty table gives no
@@ -20,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions.scratch import stored
-from cinderlog.llm.rows import numbers
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -95,39 +96,44 @@ def add_measures(docs: DataFrame) -> DataFrame:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def line_keys(host: str) -> Column:
-    """Of the column _lines: key of host and normalised line, and the line's number of words."""
-    host_of = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
-    words = F.transform("_lines", lambda s: words_of(F.lower(s)))
-    return F.transform(words, lambda w: F.struct(F.xxhash64(host_of, F.array_join(w, " ")).alias("key"), F.size(w).cast("long").alias("words")))
+def _all_lines(text: str, host: str) -> Column:
+    """Of every line, also those without a word: number from 0, key of host and normalised line, number of words."""
+    host_of = F.coalesce(F.col(host), F.lit("\x00"))
+    words = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: words_of(F.lower(s)))
+    return F.transform(words, lambda w, i: F.struct(i.alias("i"), F.xxhash64(host_of, F.array_join(w, " ")).alias("key"), F.size(w).cast("long").alias("words")))
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
-    """doc_id, the measures, n_boilerplate_words and kept."""
-    lines = docs.select("doc_id", "text", F.col(host).alias("_host"))
-    split = lines.withColumn("_lines", lines_of(F.col("text")))
-    seen = split.select("doc_id", F.explode(F.transform(line_keys("_host"), lambda x: x["key"])).alias("key"))
+def _marked(docs: DataFrame, host: str, max_docs: int, min_kept: float) -> DataFrame:
+    """doc_id, text, _row (the row of docs), the measures, _cut (numbers of lines above the limit), n_boilerplate_words and kept."""
+    lines = docs.select("doc_id", "text", F.col(host).cast("string").alias("_host"), F.struct("*").alias("_row"))
+    split = lines.withColumn("_all", F.filter(_all_lines("text", "_host"), lambda x: x["words"] > 0))
+    seen = split.select("doc_id", F.explode(F.transform("_all", lambda x: x["key"])).alias("key"))
     counted = seen.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_docs"))
-    frequent = stored(counted.filter(F.col("_docs") > max_docs).select("key"), "frequent").withColumn("_frequent", F.lit(True))
-    measured = add_measures(lines).withColumn("_hash", F.xxhash64("text", "_host"))
-    own = F.struct(*(F.col(c) for c in MEASURES))
-    none = F.lit(None).cast("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean>")
-    items = F.concat(
-        F.array(F.struct(F.xxhash64(F.lit("document"), "doc_id", "_hash").alias("key"), F.lit(0).cast("long").alias("words"), own.alias("own"))),
-        F.transform(line_keys("_host"), lambda x: F.struct(x["key"].alias("key"), x["words"].alias("words"), none.alias("own"))),
-    )
-    rows = measured.select("doc_id", "_hash", F.explode(items).alias("_x")).select("doc_id", "_hash", "_x.*")
-    joined = rows.join(frequent, "key", "left")
-    # whole documents meet: lines first summed where they are
-    summed = joined.groupBy("doc_id", "_hash").agg(
-        F.sum(F.when(F.col("own").isNull() & F.col("_frequent"), F.col("words")).otherwise(0)).alias("_cut"),
-        F.sum(F.when(F.col("own").isNotNull(), 1).otherwise(0)).alias("_copies"),
-        *(F.max(f"own.{c}").alias(c) for c in MEASURES),
-    )
-    cut = F.floor(F.col("_cut") / F.col("_copies")).cast("long")
-    out = numbers(summed, F.lit(1), F.col("_copies"), "_copy").select("doc_id", *MEASURES, cut.alias("n_boilerplate_words"))
+    frequent = stored(counted.filter(F.col("_docs") > max_docs).select("key"), "frequent")
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64("doc_id", "text", "_host"))
+    placed = hashed(split).select("_hash", F.explode("_all").alias("_x")).select("_hash", "_x.*")
+    cut = placed.join(frequent, "key").groupBy("_hash").agg(F.collect_set(F.struct("i", "words")).alias("_cut"))
+    cut = stored(cut, "cut").withColumnRenamed("_hash", "_of")  # so that the next join can be split
+    measured = hashed(add_measures(lines).drop("_lines"))
+    out = measured.join(cut, F.col("_hash") == F.col("_of"), "left").drop("_hash", "_of", "_host")
+    words = F.aggregate("_cut", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    out = out.withColumn("n_boilerplate_words", F.coalesce(words, F.lit(0).cast("long")))
     depleted = F.col("n_words") - F.col("n_boilerplate_words") < F.lit(min_kept) * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumn("_cut", F.transform("_cut", lambda x: x["i"]))
+
+
+def without_boilerplate(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """The documents kept, without the lines above the limit; the other lines as they were. n_chars, if there, counts the new text."""
+    kept = _marked(docs, host, max_docs, min_kept).filter("kept")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("_cut", i)), "\n")
+    out = kept.withColumn("_text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(rest))
+    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """doc_id, the measures, n_boilerplate_words and kept: what without_boilerplate() removes and rejects."""
+    return _marked(docs, host, max_docs, min_kept).select("doc_id", *MEASURES, "n_boilerplate_words", "kept")
 
 
 def op7_line_frequency(spark, sf_dir: str) -> DataFrame:

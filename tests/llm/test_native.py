@@ -150,6 +150,19 @@ def test_lines(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_boilerplate_is_removed(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    data = [(i, f"Top  Line\n\n  {own(i)}  \ntop line \nlast {i}\n", "hot", 0, "c") for i in range(8)]
+    data += [(50, "top line\n" + own(50), "cold", 0, "c"), (51, "Top line\n" * 400 + own(51), "hot", 0, "c"), (52, None, "hot", 0, "c"), data[0], (None, data[0][1], "hot", 0, "c")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long, _cut string")
+    got = quality.without_boilerplate(docs, max_docs=5).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars, r.source, r["_cut"]) for r in got) == Counter(
+        (d, t, len(t), s, "c") for d, t, s in [*((i, f"\n  {own(i)}  \nlast {i}\n", "hot") for i in (*range(8), 0)), (50, data[8][1], "cold"), (None, f"\n  {own(0)}  \nlast 0\n", "hot")]
+    )
+    words = Counter({(r.doc_id, r.n_words - r.n_boilerplate_words) for r in quality.judge(docs, max_docs=5).collect() if r.kept})
+    assert words == Counter({(r.doc_id, len(r.text.split())) for r in got})
+
+
 # -- licences ------------------------------------------------------------------------------------------------
 def brute_licences(text):
     classes, table, bias, temperature, least = licenses.model()
