@@ -1,11 +1,14 @@
 """Licence scans: a paragraph classifier with template comparison.
 
-A paragraph is a line. Its terms are its words that occur in some template; a paragraph without a core term (see
+A paragraph is a line, or up to WRAP consecutive lines without a blank one among them (a line of signs only, such as
+a comment's, is blank), as notices are wrapped. Its terms are its words that occur in some template; a paragraph without a core term (see
 CORE) says nothing about licences and is unknown. Features are single terms and pairs of neighbouring terms, present
 or not; a sparse multinomial logistic regression gives a score for each licence family and for the class
 ``unknown``. Scores are divided by a temperature fitted on held-out paragraphs, and a family is predicted where its
 probability reaches the least threshold that is right for PRECISION of the held-out ones. A prediction is
-confirmed if the paragraph holds at least CONFIRM of the terms of some template of that family.
+confirmed if the paragraph holds at least CONFIRM of the terms of some template of that family. Of confirmed
+paragraphs that share a line the most similar one counts, of equal ones the shortest, then the first. Paragraphs of
+several lines count only if confirmed; then lines of theirs don't count by themselves.
 
 The classifier is fitted on the driver on paragraphs made from the templates below: a fixed number, whatever the
 corpus. Scoring is built-in expressions on each row, without a shuffle; the weights are a literal of the plan.
@@ -84,6 +87,7 @@ CORE = (
 )
 ROUNDS, RIDGE, COPIES, SPARSE = 400, 1e-3, 40, 0.02
 PRECISION, CONFIRM = 0.99, 0.6
+WRAP = 8  # lines of a wrapped notice: the longest template at 25 columns
 SPLIT = "[^a-z0-9.]+"
 
 
@@ -157,7 +161,7 @@ def _numbers(values) -> Column:
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep with ``findings``: array of paragraph (line number from 0), family, probability, similarity, confirmed."""
+    """The columns keep with ``findings``: array of paragraph (number of its first line from 0), family, probability, similarity, confirmed."""
     classes, table, bias, temperature, least = model()
     families = classes[:-1]
     stems = sorted({c for c in CORE if not any(o != c and o in c for o in CORE)})
@@ -177,36 +181,61 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.transform("_lines", lambda s, i: F.struct(i.cast("long").alias("i"), F.when(any_stem(s), F.filter(words(s), lambda w: w.isin(known))).alias("terms"))),
         lambda c: F.coalesce(F.exists(c["terms"], lambda w: w.isin(core)), F.lit(False)),
     )
-    out = out.withColumn("_picked", picked)
+    out = out.withColumn("_core", picked)
+    # lines that share a paragraph with one that has a core term: their terms, null if blank
+    near = lambda i: F.exists("_core", lambda c: F.abs(c["i"] - i) < WRAP)
+    some = lambda s: F.filter(words(s), lambda w: w != "")
+    terms = F.transform("_lines", lambda s, i: F.when(near(i), F.when(F.size(some(s)) > 0, F.filter(some(s), lambda w: w.isin(known)))))
+    out = out.withColumn("_terms", F.when(F.size("_core") > 0, terms).otherwise(F.expr("cast(array() as array<array<string>>)")))
+    starts = F.expr("filter(transform(_terms, (t, i) -> if(size(t) > 0, i, null)), i -> i is not null)")
+    out = out.withColumn("_starts", starts)
+    # from a line with a term to a line with a term, with a core line and no blank one
+    windows = F.expr(
+        f"flatten(transform(_starts, i -> transform(filter(sequence(2, {WRAP}), n -> i + n <= size(_terms) and size(_terms[i + n - 1]) > 0"
+        " and exists(_core, c -> c.i >= i and c.i < i + n) and forall(slice(_terms, i + 1, n), t -> t is not null)),"
+        " n -> named_struct('i', cast(i as bigint), 'n', n, 'terms', flatten(slice(_terms, i + 1, n))))))"
+    )
+    single = F.transform("_core", lambda c: F.struct(c["i"].alias("i"), F.lit(1).alias("n"), c["terms"].alias("terms")))
+    out = out.withColumn("_picked", F.concat(single, windows))
     pair = lambda t: F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    feats = F.transform("_picked", lambda c: F.struct(c["i"].alias("i"), c["terms"].alias("terms"), F.array_distinct(F.concat(c["terms"], F.filter(pair(c["terms"]), lambda x: x.isNotNull()))).alias("f")))
+    feats = F.transform("_picked", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["terms"].alias("terms"), F.array_distinct(F.concat(c["terms"], F.filter(pair(c["terms"]), lambda x: x.isNotNull()))).alias("f")))
     out = out.withColumn("_feats", feats)
     total = lambda f: F.aggregate(
         F.filter(F.transform(f, lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull()), _numbers(bias), lambda s, w: F.zip_with(s, w, lambda a, b: a + b)
     )
-    out = out.withColumn("_scores", F.transform("_feats", lambda c: F.struct(c["i"].alias("i"), c["terms"].alias("terms"), total(c["f"]).alias("s"))))
+    out = out.withColumn("_scores", F.transform("_feats", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["terms"].alias("terms"), total(c["f"]).alias("s"))))
     raised = F.transform(
         "_scores",
-        lambda c: F.struct(c["i"].alias("i"), c["terms"].alias("terms"), F.transform(c["s"], lambda v: F.exp((v - F.array_max(c["s"])) / F.lit(temperature))).alias("e")),
+        lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["terms"].alias("terms"), F.transform(c["s"], lambda v: F.exp((v - F.array_max(c["s"])) / F.lit(temperature))).alias("e")),
     )
     out = out.withColumn("_raised", raised)
     best = F.transform(
         "_raised",
         lambda c: F.struct(
-            c["i"].alias("i"), F.array_distinct(c["terms"]).alias("terms"), F.array_position(c["e"], F.array_max(c["e"])).cast("int").alias("k"),
+            c["i"].alias("i"), c["n"].alias("n"), F.array_distinct(c["terms"]).alias("terms"), F.array_position(c["e"], F.array_max(c["e"])).cast("int").alias("k"),
             (F.array_max(c["e"]) / F.aggregate(c["e"], F.lit(0.0), lambda a, b: a + b)).alias("p"),
         ),
     )
     out = out.withColumn("_best", F.filter(best, lambda c: (c["k"] < len(classes)) & (c["p"] >= least)))
     likeness = lambda c: F.array_max(F.transform(F.element_at(shapes, c["k"]), lambda t: F.size(F.array_intersect(t, c["terms"])) / F.size(t)))
+    judged = F.transform("_best", lambda c: F.struct((-likeness(c)).alias("unlike"), c["n"].alias("n"), c["i"].alias("i"), c["k"].alias("k"), c["p"].alias("p")))
+    out = out.withColumn("_judged", judged)
+    out = out.withColumn("_sure", F.array_sort(F.filter("_judged", lambda c: c["unlike"] <= -CONFIRM)))
+    meets = lambda c, d: (c["i"] < d["i"] + d["n"]) & (d["i"] < c["i"] + c["n"])
+    chosen = F.aggregate(
+        "_sure", F.filter("_sure", lambda c: F.lit(False)),
+        lambda got, c: F.when(F.exists(got, lambda d: meets(c, d)), got).otherwise(F.concat(got, F.array(c))),
+    )
+    out = out.withColumn("_chosen", chosen)
+    alone = F.filter("_judged", lambda c: (c["n"] == 1) & (c["unlike"] > -CONFIRM) & ~F.exists("_chosen", lambda d: meets(c, d)))
     found = F.transform(
-        "_best",
+        F.array_sort(F.transform(F.concat("_chosen", alone), lambda c: F.struct(c["i"].alias("i"), c["k"].alias("k"), c["p"].alias("p"), c["unlike"].alias("unlike")))),
         lambda c: F.struct(
             c["i"].alias("paragraph"), F.element_at(_strings(families), c["k"]).alias("family"), F.round(c["p"], 4).alias("probability"),
-            F.round(likeness(c), 4).alias("similarity"), (likeness(c) >= CONFIRM).alias("confirmed"),
+            F.round(-c["unlike"], 4).alias("similarity"), (c["unlike"] <= -CONFIRM).alias("confirmed"),
         ),
     )
-    out = out.withColumn("findings", found).withColumn("n_candidates", F.size("_picked").cast("long"))
+    out = out.withColumn("findings", found).withColumn("n_candidates", F.size("_core").cast("long"))
     return out.select(*keep, "n_candidates", "findings")
 
 

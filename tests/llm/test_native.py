@@ -2,6 +2,7 @@
 
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -191,3 +192,22 @@ def test_licences(spark):
     right = [got[3 + len(licenses.OTHERS) + i] for i in range(sum(map(len, licenses.TEMPLATES.values())))]
     assert sum(bool(x) for x in right) >= 0.9 * len(right)
     assert licenses.scan(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_wrapped_notices(spark):
+    whole = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    texts, of = list(whole), list(range(len(whole)))
+    for i, t in enumerate(whole):
+        for width in (30, 45, 60, 72):
+            for prefix in ("", "# ", " * "):
+                lines = [prefix + x for x in textwrap.wrap(t, width)]
+                texts.append("\n".join(["some prose here", "", *lines, prefix, "other prose here"]))
+                of.append(i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [(f.family, f.similarity, f.confirmed) for f in r.findings] for r in licenses.scan(docs, ["doc_id"]).collect()}
+    short = [j for j, i in enumerate(of) if got[j] != got[i]]
+    assert not short, [(texts[j], got[j], got[of[j]]) for j in short[:5]]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    two = spark.createDataFrame([(0, bsd), (1, bsd.replace("\n", "\n\n")), (2, "Released under the MIT License.\n" + bsd + "\nLicensed under CC BY 4.0.")], "doc_id long, text string")
+    got = {r.doc_id: [(f.paragraph, f.family) for f in r.findings if f.confirmed] for r in licenses.scan(two, ["doc_id"]).collect()}
+    assert got == {0: [(0, "BSD-3-Clause")], 1: [], 2: [(0, "MIT"), (1, "BSD-3-Clause"), (3, "CC-BY-4.0")]}
