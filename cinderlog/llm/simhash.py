@@ -19,7 +19,8 @@ The above is op9. one_of_similar() is the pipeline's stage: texts whose sets of
 LEAST or more are linked, all of them and no others. At that similarity fingerprints differ by about 10 bits, which no
 segments find, so fingerprints serve to link groups of near copies cheaply, and the other pairs are found by a
 prefix filter: two sets that similar share one of their first n - ceil(LEAST n) + 1 shingles in any common order. The order
-is by hash, shingles of over HEAVY texts last. Every candidate, of either kind, is compared by its shingles.
+is by hash, shingles of over HEAVY texts last; pairs whose prefixes share fewer shingles than similar sets must are dropped.
+Every candidate, of either kind, is compared by its shingles.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def prefix_size(n: int, least: float) -> int:
 
 
 def _described(size: int, least: float):
-    """th, text, fp, n (distinct shingles), prefix."""
+    """th, fp, n (distinct shingles), prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -211,7 +212,7 @@ def _described(size: int, least: float):
                     prefixes.append(distinct[: prefix_size(len(distinct), least)].view(np.int64))
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([b.column("th"), b.column("text"), pa.array(prints, pa.int64()), pa.array(ns, pa.int64()), lists], ["th", "text", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(prints, pa.int64()), pa.array(ns, pa.int64()), lists], ["th", "fp", "n", "prefix"])
 
     return run
 
@@ -226,7 +227,7 @@ def _reordered(size: int, least: float, heavy: np.ndarray):
                 distinct = np.unique(_hashes(t.as_py(), size))
                 late = np.isin(distinct, heavy)
                 out.append(np.concatenate([distinct[~late], distinct[late]])[: prefix_size(len(distinct), least)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("th"), b.column("class"), b.column("n"), pa.array(out, pa.list_(pa.int64()))], ["th", "class", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(out, pa.list_(pa.int64()))], ["th", "prefix"])
 
     return run
 
@@ -239,8 +240,13 @@ def _meetings(least: float):
         held = [np.zeros(0, np.int64)] * 4
         last, batches = False, iter(batches)
 
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        def out(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(most)], ["a", "b", "need"])
+
+        def need(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Shingles that two similar sets of x and y have in common in their prefixes at least: what the rest can't give."""
+            rest = np.ceil(least * np.maximum(x, y) - EPS) - 1
+            return (np.ceil(least / (1 + least) * (x + y) - EPS) - rest).astype(np.int64)
 
         while not last:
             b = next(batches, None)
@@ -259,14 +265,15 @@ def _meetings(least: float):
             two = ends - starts == 2
             x, y = starts[two], starts[two] + 1
             near = np.minimum(ns[x], ns[y]) >= least * np.maximum(ns[x], ns[y]) - EPS
-            yield out(ths[x[near]], ths[y[near]])
+            x, y = x[near], y[near]
+            yield out(ths[x], ths[y], need(ns[x], ns[y]))
             found, size = [], 0
             for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
                 at = s + np.searchsorted(classes[s:e], classes[s:e], "right")
                 for i in range(s, int(at.searchsorted(e)) + s):
                     j = np.arange(at[i - s], e)
                     j = j[np.minimum(ns[j], ns[i]) >= least * np.maximum(ns[j], ns[i]) - EPS]
-                    found.append((np.full(len(j), ths[i]), ths[j]))
+                    found.append((np.full(len(j), ths[i]), ths[j], need(ns[i], ns[j])))
                     size += len(j)
                     if size > PART:
                         yield out(*map(np.concatenate, zip(*found)))
@@ -294,13 +301,38 @@ def _alike(size: int, least: float):
     return run
 
 
+MARKS = 1 << 18  # words of the bitmap that thins out texts before a join
+
+
+def _marked(words: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            th = b.column("th").to_numpy().view(np.uint64)
+            bit = (words[(th >> np.uint64(6)) % np.uint64(MARKS)] >> (th & np.uint64(63))) & np.uint64(1)
+            yield b.filter(pa.array(bit == 1))
+
+    return run
+
+
+def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct texts whose th is in nodes, and perhaps few others: a bitmap of fixed size thins them out before they are shuffled."""
+    marks = nodes.select(F.expr(f"pmod(shiftrightunsigned(th, 6), {MARKS})").alias("w"), F.expr("shiftleft(1L, cast(th & 63 as int))").alias("bit"))
+    words = np.zeros(MARKS, np.uint64)
+    for r in marks.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r.w] = r.bits % 2**64
+    return texts.mapInArrow(_marked(words), "th long, text string").dropDuplicates(["th"])
+
+
 def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
-    """(node, root) for every text that is similar to another; root is one node of its class. texts: th (long, distinct), text."""
-    base = stored(texts.mapInArrow(_described(size, least), "th long, text string, fp long, n long, prefix array<long>"), "texts")
+    """(node, root) for every text that is similar to another; root is one node of its class. texts: th (a hash, long), text."""
+    texts = texts.select("th", "text")
+    every = stored(texts.mapInArrow(_described(size, least), "th long, fp long, n long, prefix array<long>"), "described")
+    base = stored(every.groupBy("th").agg(*(F.any_value(c).alias(c) for c in ("fp", "n", "prefix"))), "described")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs, "candidates")
-        of = lambda c: base.select(F.col("th").alias(c), F.col("text").alias(f"text_{c}"))
+        needed = stored(_needed(texts, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th")))), "needed")
+        of = lambda c: needed.select(F.col("th").alias(c), F.col("text").alias(f"text_{c}"))
         return stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike(size, least), "a long, b long"), name)
 
     reps = stored(base.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
@@ -311,24 +343,25 @@ def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, heav
 
     counted = base.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
     late = np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64).view(np.uint64))
-    classes = stored(components(close).select(F.col("node").alias("th"), F.col("root").alias("_root")), "classes")
-    rows = base.join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
-    few = ["th", "class", "n", "prefix"]
+    prefixes = base.select("th", "n", "prefix")
     if len(late):
-        heavy_keys = F.lit(late.view(np.int64).tolist())
-        rows = rows.withColumn("_late", F.arrays_overlap("prefix", heavy_keys))
-        anew = rows.filter("_late").select("th", "class", "n", "text").mapInArrow(_reordered(size, least, late), "th long, class long, n long, prefix array<long>")
-        rows = rows.filter("not _late").select(*few).union(anew)
-    filed = rows.select("th", "class", "n", F.explode("prefix").alias("key")).select("key", "class", "th", "n")
-    met = filed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meetings(least), "a long, b long").distinct()
-    return components(close.union(verified(met, "alike")))
+        prefixes = stored(prefixes.withColumn("_late", F.arrays_overlap("prefix", F.lit(late.view(np.int64).tolist()))), "prefixes")
+        anew = _needed(texts, prefixes.filter("_late").select("th")).mapInArrow(_reordered(size, least, late), "th long, prefix array<long>")
+        anew = prefixes.filter("_late").select("th", "n").join(anew, "th").select("th", "n", "prefix")
+        prefixes = prefixes.filter("not _late").select("th", "n", "prefix").union(anew)
+    classes = components(close).select(F.col("node").alias("th"), F.col("root").alias("_root"))
+    rows = prefixes.join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
+    filed = rows.select(F.explode("prefix").alias("key"), "class", "th", "n")
+    met = filed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meetings(least), "a long, b long, need long")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need").select("a", "b")
+    return components(close.union(verified(pairs, "alike")))
 
 
 def one_of_similar(docs: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
     """docs without near-duplicates by exact shingle similarity: of each class the row with the least id stays. Rows without an id stay."""
     th, root = unused(docs.columns, "_th"), unused(docs.columns, "_root")
     text = F.coalesce("text", F.lit(""))
-    roots = similar_texts(docs.select(F.xxhash64(text).alias("th"), text.alias("text")).dropDuplicates(["th"]), size, least, heavy)
+    roots = similar_texts(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), size, least, heavy)
     rows = docs.select("doc_id", F.xxhash64(text).alias(th))
     placed = rows.join(roots.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
     first = placed.filter("doc_id is not null").groupBy(root).agg(F.min(F.struct("doc_id", th)).alias("x")).select("x.*")
