@@ -358,15 +358,17 @@ def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, heav
 
 
 def one_of_similar(docs: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
-    """docs without near-duplicates by exact shingle similarity: of each class the row with the least id stays. Rows without an id stay."""
+    """docs without near-duplicates by exact shingle similarity: of each class one row stays, the least by id (none last), then hash of the text."""
     th, root = unused(docs.columns, "_th"), unused(docs.columns, "_root")
     text = F.coalesce("text", F.lit(""))
     roots = similar_texts(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), size, least, heavy)
     rows = docs.select("doc_id", F.xxhash64(text).alias(th))
     placed = rows.join(roots.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
-    first = placed.filter("doc_id is not null").groupBy(root).agg(F.min(F.struct("doc_id", th)).alias("x")).select("x.*")
-    kept = docs.withColumn(th, F.xxhash64(text)).join(first, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
-    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    first = placed.groupBy(root).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_of"), F.col(th).alias("_is"))).alias("x"))
+    first = first.select("x._of", "x._is")
+    marked = docs.withColumn(th, F.xxhash64(text))
+    kept = marked.join(first, (F.col(th) == F.col("_is")) & marked["doc_id"].eqNullSafe(F.col("_of")), "left_semi")
+    return kept.dropDuplicates(["doc_id", th]).select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

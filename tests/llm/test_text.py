@@ -389,6 +389,13 @@ def test_edited_copies_go(spark, heavy):
     assert simhash.one_of_similar(docs.limit(0)).count() == 0
 
 
+def test_copies_without_an_id_go(spark):
+    texts = ["a b c d e f", "a b c d e f", "a b c d e f", "only none here", "only none here", "same id one", "same id one  ", "ID shared, other text"]
+    docs = frame(spark, texts, ids=[None, None, 7, None, None, 9, 9, 9])
+    got = simhash.one_of_similar(docs).collect()
+    assert Counter((r.doc_id, " ".join(r.text.split())) for r in got) == Counter([(7, texts[0]), (None, texts[3]), (9, texts[5]), (9, texts[7])])
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     rows = lang_rows(60) + [(900, None, "en", "s", 0), (901, "!", "en", "s", 0)]
