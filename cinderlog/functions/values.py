@@ -2,6 +2,9 @@
 
 A column is ``bool``, ``long``, ``ubig`` (integers beyond 2**63 - 1), ``string``, ``mixed`` (a tagged
 struct) or, for columns of inserted DataFrames, any other Spark type, kept as it is.
+
+Nulls, which only inserted DataFrames can hold, equal nothing in a rule's body (a constant, a shared variable, a negated
+atom), whatever the kind; as rows of a set they are one value, as in SQL's DISTINCT and EXCEPT.
 """
 
 from __future__ import annotations
@@ -47,6 +50,12 @@ def join_kinds(a: str | None, b: str | None) -> str | None:
     raise ValueError(f"a relation's column can't hold both {a} and {b}")
 
 
+def narrower(a: str, b: str) -> str:
+    """Of the kinds of two columns that a join makes equal, the one that its rows fit."""
+    rank = {"mixed": 2, "ubig": 1}
+    return min(a, b, key=lambda k: (rank.get(k, 0), k))
+
+
 def literal(value) -> Column:
     return F.lit(value).cast(SPARK[kind_of_value(value)])
 
@@ -61,7 +70,7 @@ def convert(col: Column, have: str, want: str) -> Column:
     none = {k: F.lit(None).cast(t) for k, t in (("s", SPARK["string"]), ("i", SPARK["ubig"]), ("b", SPARK["bool"]))}
     tag, slot = {"string": (0, "s"), "long": (1, "i"), "ubig": (1, "i"), "bool": (2, "b")}[have]
     parts = none | {slot: col.cast(SPARK["ubig"]) if slot == "i" else col}
-    return F.struct(F.lit(tag).cast("byte").alias("t"), *(parts[k].alias(k) for k in "sib"))
+    return F.when(col.isNotNull(), F.struct(F.lit(tag).cast("byte").alias("t"), *(parts[k].alias(k) for k in "sib")))
 
 
 def comparable(a: str, b: str) -> str | None:

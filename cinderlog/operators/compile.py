@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.functions.values import comparable, convert, equal, kind_of_value, literal
+from cinderlog.functions.values import comparable, convert, equal, kind_of_value, literal, narrower
 from cinderlog.operators.relation import UNIT, Relation
 from cinderlog.plans.syntax import Atom, Const, Rule, Var
 
@@ -21,8 +21,8 @@ def select_pattern(rel: Relation, terms) -> DataFrame:
     return df
 
 
-def scan_atom(rel: Relation, atom: Atom) -> tuple[DataFrame, dict[str, str]]:
-    """The atom's rows with one column ``v_<name>`` for each variable; constants and repeated variables filter."""
+def scan_atom(rel: Relation, atom: Atom, prefix: str = "v") -> tuple[DataFrame, dict[str, str]]:
+    """The atom's rows with one column ``<prefix>_<name>`` for each variable; constants and repeated variables filter."""
     if len(atom.terms) != len(rel.kinds):
         raise ValueError(f"{atom!r} has {len(atom.terms)} terms; the relation has {len(rel.kinds)} columns")
     df, first, kinds = select_pattern(rel, atom.terms), {}, {}
@@ -32,18 +32,17 @@ def scan_atom(rel: Relation, atom: Atom) -> tuple[DataFrame, dict[str, str]]:
                 df = df.filter(equal(F.col(first[t.name]), kinds[t.name], F.col(c), kind))
             else:
                 first[t.name], kinds[t.name] = c, kind
-    cols = [F.col(c).alias(f"v_{v}") for v, c in first.items()]
-    return df.select(*(cols or [F.lit(True).alias(UNIT)])), kinds
+    cols = [F.col(c).alias(f"{prefix}_{v}") for v, c in first.items()]
+    return df.select(*(cols or [F.lit(True).alias(f"{prefix}_unit")])), kinds
 
 
 def _join(left: DataFrame, lk: dict, right: DataFrame, rk: dict, how: str) -> DataFrame:
-    shared = [v for v in rk if v in lk]
-    renamed = right.select(*(F.col(f"v_{v}").alias(f"r_{v}") for v in rk) or [F.col(UNIT).alias("r_unit")])
+    """left has columns v_<name>, right r_<name>; they are joined on the variables that both have."""
     cond = None
-    for v in shared:
-        one = equal(left[f"v_{v}"], lk[v], renamed[f"r_{v}"], rk[v])
+    for v in (v for v in rk if v in lk):
+        one = equal(F.col(f"v_{v}"), lk[v], F.col(f"r_{v}"), rk[v])
         cond = one if cond is None else cond & one
-    return left.crossJoin(renamed) if cond is None else left.join(renamed, cond, how)
+    return left.crossJoin(right) if cond is None else left.join(right, cond, how)
 
 
 def _in_order(atoms: list[tuple[int, Atom]], first: int | None) -> list[tuple[int, Atom]]:
@@ -57,45 +56,57 @@ def _in_order(atoms: list[tuple[int, Atom]], first: int | None) -> list[tuple[in
     return out
 
 
+def rule_kinds(rule: Rule, kinds_of: Callable[[Atom], tuple[str, ...]]) -> tuple[str, ...]:
+    """Kinds of the head's columns; a variable has the narrowest kind of its places in the positive body."""
+    kinds: dict[str, str] = {}
+    for atom in rule.body:
+        if atom.sign:
+            for t, kind in zip(atom.terms, kinds_of(atom)):
+                if isinstance(t, Var):
+                    kinds[t.name] = narrower(kinds.get(t.name, kind), kind)
+    return tuple(kinds[t.name] if isinstance(t, Var) else kind_of_value(t.value) for t in rule.head.terms)
+
+
 def compile_rule(spark: SparkSession, rule: Rule, lookup: Callable[[int, Atom], Relation], delta: int | None = None) -> Relation:
     """The head tuples of a rule, repeats included. lookup: the relation to use at a position of the body."""
     positive = [(i, a) for i, a in enumerate(rule.body) if a.sign]
-    needed_later = {v for a in rule.body if not a.sign for v in a.variables()} | set(rule.head.variables())
-    df, kinds = None, {}
+    negative = [(i, a) for i, a in enumerate(rule.body) if not a.sign]
+    needed_later = {v for _, a in negative for v in a.variables()} | set(rule.head.variables())
+    df, kinds, column = None, {}, {}  # column: where a variable's value is
+
+    def plain_names() -> DataFrame:
+        if all(c == f"v_{v}" for v, c in column.items()) and column:
+            return df
+        return df.select(*([F.col(c).alias(f"v_{v}") for v, c in column.items()] or [F.lit(True).alias("v_unit")]))
+
     ordered = _in_order(positive, delta)
     for n, (i, atom) in enumerate(ordered):
-        right, rk = scan_atom(lookup(i, atom), atom)
+        right, rk = scan_atom(lookup(i, atom), atom, "r" if n else "v")
         later = needed_later | {v for _, a in ordered[n + 1 :] for v in a.variables()}
-        if df is None:
-            df, kinds = right, rk
-        elif set(rk) & set(kinds) and not any(v in later and v not in kinds for v in rk):
-            df = _join(df, kinds, right, rk, "left_semi")  # it only restricts: no column of it is used again
+        if n:
+            df, column = plain_names(), {v: f"v_{v}" for v in column}
+            better = {v for v in rk if v not in kinds or narrower(kinds[v], rk[v]) != kinds[v]}
+            restricts = set(rk) & set(kinds) and not better & later  # no column of it is used again
+            df = _join(df, kinds, right, rk, "left_semi" if restricts else "inner")
+            if not restricts:
+                kinds, column = kinds | {v: rk[v] for v in better}, column | {v: f"r_{v}" for v in better}
         else:
-            df = _join(df, kinds, right, rk, "inner")
-        keep, kept = [], {}
-        for v, kind in {**rk, **kinds}.items():
-            if v not in later:
-                continue
-            use_left = v in kinds and not (v in rk and kinds[v] == "mixed" != rk[v])
-            name = f"v_{v}" if use_left or f"r_{v}" not in df.columns else f"r_{v}"
-            keep.append(F.col(name).alias(f"v_{v}"))
-            kept[v] = kinds[v] if name == f"v_{v}" and v in kinds else rk[v]
-        df, kinds = df.select(*(keep or [F.lit(True).alias(UNIT)])), kept
-        if not keep and n + 1 < len(ordered):
-            df = df.limit(1)  # only whether there is a row matters
+            df, kinds, column = right, rk, {v: f"v_{v}" for v in rk}
+        kinds, column = {v: k for v, k in kinds.items() if v in later}, {v: c for v, c in column.items() if v in later}
+        if not column and n + 1 < len(ordered):
+            df = plain_names().limit(1)  # only whether there is a row matters
     if df is None:
-        df = spark.range(1).select(F.lit(True).alias(UNIT))
-    for i, atom in enumerate(rule.body):
-        if atom.sign:
-            continue
-        right, rk = scan_atom(lookup(i, atom), atom)
+        df = spark.range(1).select(F.lit(True).alias("v_unit"))
+    for i, atom in negative:
+        df, column = plain_names() if column else df, {v: f"v_{v}" for v in column}
+        right, rk = scan_atom(lookup(i, atom), atom, "r")
         if rk:
             df = _join(df, kinds, right, rk, "left_anti")
         else:  # a ground atom: all rows stay if it has no match, none otherwise
-            df = df.join(right.limit(1).select(F.col(UNIT).alias("r_unit")), F.col("r_unit"), "left_anti")
+            df = df.join(right.limit(1), F.col("r_unit"), "left_anti")
     head, head_kinds = [], []
     for j, t in enumerate(rule.head.terms):
-        head.append((F.col(f"v_{t.name}") if isinstance(t, Var) else literal(t.value)).alias(f"c{j}"))
+        head.append((F.col(column[t.name]) if isinstance(t, Var) else literal(t.value)).alias(f"c{j}"))
         head_kinds.append(kinds[t.name] if isinstance(t, Var) else kind_of_value(t.value))
     return Relation(df.select(*(head or [F.lit(True).alias(UNIT)])), tuple(head_kinds))
 
@@ -103,10 +114,10 @@ def compile_rule(spark: SparkSession, rule: Rule, lookup: Callable[[int, Atom],
 def without(rel: Relation, known: Relation) -> Relation:
     """Distinct rows of rel that are not in known; both have the same kinds."""
     left, cols = rel.df.distinct(), rel.columns
-    if any(comparable(a, b) is None for a, b in zip(rel.kinds, known.kinds)):
+    if known.n == 0 or any(comparable(a, b) is None for a, b in zip(rel.kinds, known.kinds)):
         return Relation(left, rel.kinds)
-    right = known.widened(rel.kinds).df
-    return Relation(left.join(right, [left[c].eqNullSafe(right[c]) for c in cols], "left_anti"), rel.kinds)
+    right = known.widened(rel.kinds).df.toDF(*(f"k_{c}" for c in cols))
+    return Relation(left.join(right, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in cols], "left_anti"), rel.kinds)
 
 
-__all__ = ["compile_rule", "convert", "scan_atom", "select_pattern", "without"]
+__all__ = ["compile_rule", "convert", "rule_kinds", "scan_atom", "select_pattern", "without"]

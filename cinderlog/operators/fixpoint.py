@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from cinderlog.functions.scratch import costly, stored, stored_counted
-from cinderlog.operators.compile import compile_rule, without
-from cinderlog.operators.relation import Relation, common_kinds, union
+from cinderlog.functions.scratch import LITERAL_BYTES, LITERAL_ROWS, costly, few_rows, size_estimate, stored
+from cinderlog.operators.compile import compile_rule, rule_kinds, without
+from cinderlog.operators.relation import Grown, Relation, common_kinds, from_list, materialized, union
 from cinderlog.plans.analysis import components
 from cinderlog.plans.syntax import Atom, Program, Rule, Var
 
@@ -25,20 +26,6 @@ def loop_settings(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-class _Grown:
-    """A relation as the parts that its rounds have added, so that no round rewrites what is there."""
-
-    def __init__(self, parts: list[Relation]):
-        self.parts = parts
-
-    def relation(self) -> Relation:
-        if len(self.parts) > 12:  # keeps plans short
-            whole = union(self.parts)
-            df, _ = stored_counted(whole.df, "parts")
-            self.parts = [Relation(df, whole.kinds)]
-        return union(self.parts)
-
-
 def doubled(program: Program, symbol: str) -> Program:
     """Transitive closure written linearly, p <- e and p <- e,p (or p,e), as p <- e and p <- p,p: the same
     least fixpoint in logarithmically many rounds. Any other rules stay as they are."""
@@ -84,17 +71,30 @@ def linear_step(program: Program, symbol: str) -> Rule | None:
     return first if doubled(Program([base, first]), symbol) == Program([base, step]) else None
 
 
-def infer_kinds(spark: SparkSession, program: Program, group: list[str], model: dict[str, Relation], empty) -> dict[str, tuple[str, ...]]:
+def goal_directed(program: Program, symbol: str, pattern: str) -> Program:
+    """A transitive closure, however it is written, with its recursive rule turned so that a bound end is carried along: from a bound
+    first column p <- p, e (else p <- e, p), so that the magic set of a query is its constants alone. The same least fixpoint."""
+    closed = doubled(program, symbol)
+    step = linear_step(closed, symbol)
+    if step is None or len(pattern) != 2 or "b" not in pattern:
+        return program
+    e, (first, second) = step.body[1].symbol, step.body
+    turned = step if pattern[0] == "b" else Rule(step.head, (Atom(e, first.terms), Atom(symbol, second.terms)))
+    base = [r for r in closed.rules_for(symbol) if len(r.body) == 1]
+    return Program([*(r for r in program if r.head.symbol != symbol), *base, turned])
+
+
+def infer_kinds(program: Program, group: list[str], model: dict[str, Relation]) -> dict[str, tuple[str, ...]]:
     """Column kinds of the group's predicates: the least that hold their facts and all that their rules derive."""
     kinds: dict[str, tuple[str, ...]] = {p: model[p].kinds for p in group if p in model}
+    of = lambda a: kinds[a.symbol] if a.symbol in group else model[a.symbol].kinds
     while True:
         before = dict(kinds)
         for p in group:
             for rule in program.rules_for(p):
-                if any(a.symbol in group and a.symbol not in kinds for a in rule.body):
+                if any(a.sign and a.symbol in group and a.symbol not in kinds for a in rule.body):
                     continue
-                lookup = lambda i, a: empty(a.symbol, kinds[a.symbol]) if a.symbol in group else model[a.symbol]
-                got = compile_rule(spark, rule, lookup).kinds
+                got = rule_kinds(rule, of)
                 kinds[p] = got if p not in kinds else common_kinds([Relation(None, kinds[p]), Relation(None, got)])
         if kinds == before:
             return kinds
@@ -113,13 +113,10 @@ def solve(
     the facts added since; then only derivations that use a new fact are made.
     """
     model = dict(base)
-    empty = lambda s, k: Relation.from_rows(spark, [], len(k)) if not k else Relation(
-        spark.createDataFrame([], _schema(k)), k
-    )
-    delta: dict[str, Relation] = dict(new or {})
+    delta: dict[str, Relation] = {p: r for p, r in (new or {}).items() if r.n != 0}
     for symbol in {a.symbol for r in program for a in r.body} - program.heads() - set(model):
         n = next(len(a.terms) for r in program for a in r.body if a.symbol == symbol)
-        model[symbol] = empty(symbol, ("long",) * n)
+        model[symbol] = Relation.empty(spark, ("long",) * n)
     if known is not None:
         model |= {p: r for p, r in known.items() if p in program.heads()}
 
@@ -131,26 +128,17 @@ def solve(
             recursive = any(a.symbol in group for r in rules for a in r.body)
             if recursive and known is None and len(group) == 1 and group[0] not in base:
                 program = doubled(program, group[0])
-                rules = program.rules_for(group[0])
-            kinds = infer_kinds(spark, program, group, model, empty)
+            kinds = infer_kinds(program, group, model)
             for p in group:  # no facts and no rule that could ever start
                 kinds.setdefault(p, ("long",) * len(program.rules_for(p)[0].head.terms) if program.rules_for(p) else ())
             if known is None:
-                _first_solution(spark, program, group, rules, recursive, kinds, model, empty)
+                _first_solution(spark, program, group, recursive, kinds, model)
             else:
-                _update(spark, program, group, rules, kinds, model, delta, empty)
+                _update(spark, program, group, kinds, model, delta)
     return model
 
 
-def _schema(kinds):
-    from pyspark.sql import types as T
-
-    from cinderlog.functions.values import SPARK
-
-    return T.StructType([T.StructField(f"c{i}", SPARK[k] if k in SPARK else T._parse_datatype_string(k)) for i, k in enumerate(kinds)])
-
-
-def _first_solution(spark, program, group, rules, recursive, kinds, model, empty) -> None:
+def _first_solution(spark, program, group, recursive, kinds, model) -> None:
     if not recursive:
         for p in group:
             got = [compile_rule(spark, r, lambda i, a: model[a.symbol]) for r in program.rules_for(p)]
@@ -159,61 +147,66 @@ def _first_solution(spark, program, group, rules, recursive, kinds, model, empty
         return
     # facts given for p itself are not made of e
     plain = linear_step(program, group[0]) if len(group) == 1 and group[0] not in model else None
+    _keep_outside([r for p in group for r in program.rules_for(p) if any(a.symbol in group for a in r.body)], group, model)
     grown, delta = {}, {}
     for p in group:
         exits = [r for r in program.rules_for(p) if not any(a.symbol in group for a in r.body)]
         got = [compile_rule(spark, r, lambda i, a: model[a.symbol]) for r in exits]
-        whole = union(([model[p]] if p in model else []) + got or [empty(p, kinds[p])], kinds[p])
-        df, n = stored_counted(whole.df.distinct(), f"{len(group)}-start")
-        delta[p] = (Relation(df, kinds[p]), n)
-        grown[p] = _Grown([delta[p][0]])
+        start = ([model[p]] if p in model else []) + got
+        delta[p] = materialized(Relation(union(start, kinds[p]).df.distinct(), kinds[p]), "start") if start else Relation.empty(spark, kinds[p])
+        grown[p] = Grown(delta[p])
     _rounds(spark, program, group, kinds, model, grown, delta, plain=plain)
 
 
-def _update(spark, program, group, rules, kinds, model, delta, empty) -> None:
+def _update(spark, program, group, kinds, model, delta) -> None:
     """Adds what follows from the new facts; leaves in delta what is new in this group."""
-    grown = {p: _Grown([model[p].widened(kinds[p])] if p in model else [empty(p, kinds[p])]) for p in group}
+    uses = [(r, k) for p in group for r in program.rules_for(p) for k, a in enumerate(r.body) if a.symbol in delta and a.symbol not in group]
+    if not uses and not any(p in delta for p in group):
+        return
+    grown = {p: Grown(model[p].widened(kinds[p]) if p in model else Relation.empty(spark, kinds[p])) for p in group}
     now = lambda a: grown[a.symbol].relation() if a.symbol in grown else model[a.symbol]
-    start = {}
+    start, added = {}, {p: Grown(Relation.empty(spark, kinds[p])) for p in group}
     for p in group:
         found = [delta[p].widened(kinds[p])] if p in delta else []
-        for rule in program.rules_for(p):
-            for k, atom in enumerate(rule.body):
-                if atom.symbol in delta and atom.symbol not in group:
-                    found.append(compile_rule(spark, rule, lambda i, a, k=k: delta[a.symbol] if i == k else now(a), k))
+        for rule, k in uses:
+            if rule.head.symbol == p:
+                found.append(compile_rule(spark, rule, lambda i, a, k=k: delta[a.symbol] if i == k else now(a), k))
         if found:
-            fresh = without(union(found, kinds[p]), grown[p].relation())
-            df, n = stored_counted(fresh.df, "update")
-            if n:
-                start[p] = (Relation(df, kinds[p]), n)
-    for p, (rel, _) in start.items():
-        grown[p].parts.append(rel)
-    added = {p: [rel] for p, (rel, _) in start.items()}
-    _rounds(spark, program, group, kinds, model, grown, {p: start.get(p, (empty(p, kinds[p]), 0)) for p in group}, added)
-    for p, parts in added.items():
-        delta[p] = union(parts, kinds[p])
+            start[p] = materialized(without(union(found, kinds[p]), grown[p].relation()), "update")
+    for p, rel in start.items():
+        grown[p].add(rel)
+        added[p].add(rel)
+    _rounds(spark, program, group, kinds, model, grown, {p: start.get(p, Relation.empty(spark, kinds[p])) for p in group}, added)
+    for p, more in added.items():
+        rel = more.relation()
+        if rel.n:
+            delta[p] = rel
 
 
 def _keep_outside(rules: list[Rule], group, model: dict[str, Relation]) -> None:
-    """Stores what the rules read from outside the group in every round, where it is more than a scan: a view is
-    then made once, not once a round."""
+    """What the rules read from outside the group in every round becomes a literal, if it is small, or a stored table, if it is more
+    than a scan: a view is then made once, not once a round."""
     for symbol in {a.symbol for r in rules for a in r.body} - set(group):
         rel = model[symbol]
-        if costly(rel.df):
+        if rel.rows is not None or rel.n == 0:
+            continue
+        rows = few_rows(rel.df) if size_estimate(rel.df) <= LITERAL_BYTES * LITERAL_ROWS or costly(rel.df) else None
+        if rows is not None:
+            model[symbol] = replace(from_list(rel.df.sparkSession, rows, rel.kinds), repeats=rel.repeats)
+        elif costly(rel.df):
             model[symbol] = Relation(stored(rel.df, "outside"), rel.kinds, rel.repeats)
 
 
 def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain=None) -> None:
-    """Rounds until nothing new appears. delta: the rows of the last round and their number.
+    """Rounds until nothing new appears. delta: what the last round has found.
 
     plain: a rule that may take the place of the recursive ones once their rounds would make too many candidates.
     """
     recursive = [(r, k) for p in group for r in program.rules_for(p) for k, a in enumerate(r.body) if a.sign and a.symbol in group]
-    known, width = sum(n for _, n in delta.values()), None
-    if known:
+    known, width = sum(r.n for r in delta.values()), None
+    if added is not None and known:
         _keep_outside([r for r, _ in recursive], group, model)
-    while any(n for _, n in delta.values()):
-        changed = sum(n for _, n in delta.values())
+    while changed := sum(r.n for r in delta.values()):
         if plain is not None and 2 * changed * known > MANY_CANDIDATES and known > changed:
             _keep_outside([plain], group, model)
             width = width or max(1, model[plain.body[1].symbol].df.select("c0").distinct().count())
@@ -222,25 +215,21 @@ def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain
         whole = {p: grown[p].relation() for p in group}
         found: dict[str, list[Relation]] = {}
         for rule, k in recursive:
-            if not delta[rule.body[k].symbol][1]:
+            if not delta[rule.body[k].symbol].n:
                 continue
 
             def lookup(i, a, k=k):
                 if i == k:
-                    return delta[a.symbol][0]
+                    return delta[a.symbol]
                 return whole[a.symbol] if a.symbol in whole else model[a.symbol]
 
             found.setdefault(rule.head.symbol, []).append(compile_rule(spark, rule, lookup, k))
-        fresh = {}
-        for p, parts in found.items():
-            df, n = stored_counted(without(union(parts, kinds[p]), whole[p]).df, "round")
-            fresh[p] = (Relation(df, kinds[p]), n)
-        delta = {p: fresh.get(p, (delta[p][0], 0)) for p in group}
-        known += sum(n for _, n in delta.values())
-        for p, (rel, n) in delta.items():
-            if n:
-                grown[p].parts.append(rel)
-                if added is not None:
-                    added.setdefault(p, []).append(rel)
+        empty = lambda p: Relation.empty(spark, kinds[p])
+        delta = {p: materialized(without(union(found[p], kinds[p]), whole[p]), "round", 2 * changed) if p in found else empty(p) for p in group}
+        known += sum(r.n for r in delta.values())
+        for p, rel in delta.items():
+            grown[p].add(rel)
+            if added is not None:
+                added[p].add(rel)
     for p in group:
         model[p] = grown[p].relation()

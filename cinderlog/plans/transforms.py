@@ -32,13 +32,13 @@ def make_delta_program(program: Program, update: bool) -> Program:
     return Program(out)
 
 
-def make_overdeletion_program(program: Program) -> Program:
+def make_overdeletion_program(program: Program, delete: str = DELETE) -> Program:
     """Everything that has some derivation through a deleted fact."""
-    return Program(v for rule in program for v in _one_at_a_time(rule, DELETE, lambda a: a.sign))
+    return Program(v for rule in program for v in _one_at_a_time(rule, delete, lambda a: a.sign))
 
 
-def make_rederivation_program(program: Program) -> Program:
+def make_rederivation_program(program: Program, delete: str = DELETE, rederive: str = REDERIVE) -> Program:
     """Overdeleted facts that still have another derivation."""
     return Program(
-        Rule(prefixed(r.head, REDERIVE), (prefixed(r.head, DELETE), *r.body)) for r in program
+        Rule(prefixed(r.head, rederive), (prefixed(r.head, delete), *r.body)) for r in program
     )

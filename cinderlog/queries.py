@@ -20,14 +20,18 @@ EDB = {
     "li": (["lineitem"], "SELECT DISTINCT l_orderkey a, l_partkey b, l_suppkey c FROM lineitem"),
     "evt": (["events"], "SELECT DISTINCT user_id a, event_type b FROM events"),
     "parent": (["customer"], "SELECT c_custkey a, {half} b FROM customer WHERE c_custkey > 0"),
+    # who came next, that day, after a user's last event of a type
     "follows": (
         ["events"],
-        "SELECT DISTINCT a, b FROM (SELECT user_id a, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) b FROM events WHERE event_type = 'purchase') WHERE b IS NOT NULL",
+        "SELECT DISTINCT user_id a, nxt b FROM (SELECT user_id, nxt, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) k "
+        "FROM (SELECT *, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) nxt FROM events ) WHERE nxt IS NOT NULL) WHERE k = 1",
     ),
+    # a supplier nation's main customer nation for each kind of line
     "trade": (
         ["lineitem", "orders", "customer", "supplier"],
-        "SELECT DISTINCT CAST(s_nationkey AS BIGINT) a, CAST(c_nationkey AS BIGINT) b FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
-        "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.1",
+        "SELECT DISTINCT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a, l_returnflag, l_linestatus ORDER BY n DESC, b) k FROM ("
+        "SELECT CAST(s_nationkey AS BIGINT) a, CAST(c_nationkey AS BIGINT) b, l_returnflag, l_linestatus, count(*) n FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, c_nationkey, l_returnflag, l_linestatus)) WHERE k = 1",
     ),
     "rdf": (["customer"], "SELECT c_custkey a, CAST(2 AS BIGINT) b, {half} c FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey, 1, CAST(c_nationkey AS BIGINT) FROM customer"),
 }

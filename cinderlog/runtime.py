@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinderlog.functions.scratch import stored
-from cinderlog.functions.values import plain
+from cinderlog.functions.scratch import LITERAL_ROWS
+from cinderlog.functions.values import equal, plain
 from cinderlog.operators.compile import select_pattern, without
-from cinderlog.operators.fixpoint import solve
-from cinderlog.operators.relation import UNIT, Relation, common_kinds, union
+from cinderlog.operators.fixpoint import goal_directed, solve
+from cinderlog.operators.relation import UNIT, Grown, Relation, common_kinds, materialized, union
 from cinderlog.plans.analysis import check_arity, check_safety, check_stratified, reachable
-from cinderlog.plans.magic import adorned, magic_transformation, seed_fact
+from cinderlog.plans.magic import adorned, magic_transformation, seed_fact, unused_mark
 from cinderlog.plans.syntax import Atom, Const, Program, Query, Rule, Var, check_value, parse_program, parse_query
+from cinderlog.plans.transforms import make_overdeletion_program, make_rederivation_program
 
 STALE = "poll needed to obtain correct results"
 
@@ -55,41 +57,93 @@ class Runtime:
         self._check(relation, len(df.columns))
         self.frames.setdefault(relation, []).append(Relation.from_df(df))
 
+    def delete(self, relation: str, fact) -> None:
+        """Takes a given fact back; what only followed from it goes, too. Facts must have been polled."""
+        fact = tuple(check_value(v) for v in (fact if isinstance(fact, (tuple, list)) else (fact,)))
+        self._check(relation, len(fact))
+        self.delete_relation(relation, Relation.from_rows(self.spark, [fact], len(fact)))
+
+    def delete_df(self, relation: str, df: DataFrame) -> None:
+        """As delete(), for all rows of a DataFrame."""
+        self._check(relation, len(df.columns))
+        self.delete_relation(relation, Relation.from_df(df))
+
+    def delete_relation(self, relation: str, facts: Relation) -> None:
+        """Deletes everything with a derivation from the facts, then derives again what has another (programs with negation: all anew)."""
+        if not self.safe():
+            raise RuntimeError(STALE)
+        if relation not in self.base:
+            return
+        held = self.base[relation]
+        cond = [equal(F.col(f"d{i}"), k, F.col(c), w) for i, (k, c, w) in enumerate(zip(facts.kinds, held.columns, held.kinds))] or [F.lit(True)]
+        drop = facts.df.toDF(*(f"d{i}" for i in range(max(1, len(facts.kinds)))))
+        gone = materialized(Relation(held.df.join(drop, cond, "left_semi").distinct(), held.kinds), "gone")
+        if not gone.n:
+            return
+        rest = materialized(Relation(without(held, gone).df, held.kinds), "base", LITERAL_ROWS if held.n is None else held.n)
+        self.base = self.base | {relation: rest}
+        if any(not a.sign for r in self.program for a in r.body):
+            self.model = solve(self.spark, self.program, self.base)
+            return
+        mark, heads = unused_mark([*self.base, *self.model]), self.program.heads()
+        delete, again = f"delete{mark}", f"again{mark}"
+        found = solve(self.spark, make_overdeletion_program(self.program, delete), self.model | {delete + relation: gone})
+        over = {p: materialized(found[delete + p], "over") for p in {*heads, relation} if delete + p in found}
+        left = dict(self.model)
+        for p, rel in over.items():  # given facts stay, whatever else they follow from
+            kept = [without(left[p], rel)] + ([self.base[p]] if p in self.base else [])
+            left[p] = materialized(Relation(union(kept, left[p].kinds).df.distinct(), left[p].kinds), "left", LITERAL_ROWS if left[p].n is None else left[p].n)
+        rules = [r for r in make_rederivation_program(self.program, delete, again) if r.head.symbol.removeprefix(again) in over]
+        columns = lambda p: tuple(Var(f"x{i}") for i in range(self.arity[p]))
+        back = [Rule(Atom(p, columns(p)), (Atom(again + p, columns(p)),)) for p in over if p in heads]
+        model = solve(self.spark, Program([*rules, *back]), left | {delete + p: r for p, r in over.items()})
+        self.model = {p: model[p] for p in left}
+
     def safe(self) -> bool:
         return not any(self.rows.values()) and not self.frames
 
-    def _drain(self) -> dict[str, Relation]:
+    def _staged(self) -> dict[str, Relation]:
         out: dict[str, list[Relation]] = {p: list(frames) for p, frames in self.frames.items()}
         for p, staged in self.rows.items():
-            rows = [tuple(v for _, v in key) for key in staged]
-            out.setdefault(p, []).append(Relation.from_rows(self.spark, rows, self.arity[p]))
-        self.rows, self.frames = {}, {}
-        return {p: parts[0] if len(parts) == 1 else Relation(union(parts).df, common_kinds(parts), True) for p, parts in out.items() if parts}
+            if staged:
+                rows = [tuple(v for _, v in key) for key in staged]
+                out.setdefault(p, []).append(Relation.from_rows(self.spark, rows, self.arity[p]))
+        return {p: parts[0] if len(parts) == 1 else Relation(union(parts).df, common_kinds(parts), True) for p, parts in out.items()}
 
     def poll(self) -> None:
-        """Takes in the staged facts and derives all that follows."""
+        """Takes in the staged facts and derives all that follows.
+
+        What a poll adds to a relation becomes a part of it, a literal if it is small; parts are merged, so plans don't grow with the
+        number of polls.
+        """
         if self.polled and self.safe():
             return
-        staged = self._drain()
-        before = self.base
-        merged = dict(before)
+        staged, base = self._staged(), dict(self.base)
+        negated = any(not a.sign for r in self.program for a in r.body)
+        kinds = {p: common_kinds([base[p], rel]) if p in base else rel.kinds for p, rel in staged.items()}
+        same_kinds = all(p not in self.model or kinds[p] == self.model[p].kinds for p in staged)
+        update = self.polled and not negated and same_kinds
+        new: dict[str, Relation] = {}
         for p, rel in staged.items():
-            if p in before:
-                both = union([before[p], rel])
-                merged[p] = Relation(both.df, both.kinds, True)
-            else:
-                merged[p] = rel
-        negated = {a.symbol for r in self.program for a in r.body if not a.sign}
-        same_kinds = all(p not in self.model or merged[p].kinds == self.model[p].kinds for p in staged)
-        if self.polled and not negated and same_kinds:
-            new = {}
-            for p, rel in staged.items():
-                fresh = without(rel, self.model[p]) if p in self.model else rel
-                new[p] = Relation(stored(fresh.df, "new"), rel.kinds)
-            model = solve(self.spark, self.program, merged, known=self.model, new=new)
+            if p not in base:
+                base[p] = rel
+                if update:
+                    new[p] = materialized(without(rel, self.model[p]) if p in self.model else rel.as_set(), "new")
+                continue
+            given = without(rel.widened(kinds[p]), base[p].widened(kinds[p]))
+            added = materialized(given, "new")
+            grown = Grown(base[p].widened(kinds[p]))
+            grown.add(added)
+            base[p] = grown.relation()
+            if update:
+                derived = p in self.program.heads() and p in self.model and added.n
+                new[p] = materialized(without(added, self.model[p]), "new") if derived else added
+        if update:
+            model = solve(self.spark, self.program, base, known=self.model, new=new)
         else:
-            model = solve(self.spark, self.program, merged)
-        self.base, self.model, self.polled = merged, model, True
+            model = solve(self.spark, self.program, base)
+        self.rows, self.frames = {}, {}
+        self.base, self.model, self.polled = base, model, True
 
     # -- queries -------------------------------------------------------------------------------------------
     def relation(self, name: str) -> Relation:
@@ -127,25 +181,20 @@ class Runtime:
     def query_program(self, query: Query | str, program: Program | str | None = None, strategy: str = "Bottom-up") -> DataFrame:
         """Answers a query over the facts inserted so far, staged ones included, deriving only what it needs.
 
-        Neither the caller's model nor its staged facts change; strategy has no effect.
+        Neither the caller's model nor its staged facts change; strategy has no effect. Names of rewritten predicates hold a mark that
+        no given name has, so facts of any other relation can't enter.
         """
         query = parse_query(query) if isinstance(query, str) else query
         program = self.program if program is None else parse_program(program) if isinstance(program, str) else program
         check_safety(program)
         check_stratified(program)
-        rows, frames = self.rows, self.frames
-        self.rows, self.frames = {p: dict(x) for p, x in rows.items()}, {p: list(x) for p, x in frames.items()}
-        try:
-            staged = self._drain()
-        finally:
-            self.rows, self.frames = rows, frames
         facts = dict(self.base)
-        for p, rel in staged.items():
-            facts[p] = union([facts[p], rel]) if p in facts else rel
+        for p, rel in self._staged().items():
+            facts[p] = Relation(union([facts[p], rel]).df, common_kinds([facts[p], rel]), True) if p in facts else rel
         if query.symbol not in program.heads():
             if query.symbol not in facts:
                 raise KeyError(query.symbol)
-            return select_pattern(Relation(facts[query.symbol].df.distinct(), facts[query.symbol].kinds), query.matchers)
+            return select_pattern(facts[query.symbol].as_set(), query.matchers)
         n = len(program.rules_for(query.symbol)[0].head.terms)
         query = Query(query.symbol, (query.matchers + (None,) * n)[:n])
         if "b" not in query.pattern():  # nothing to restrict by
@@ -153,15 +202,19 @@ class Runtime:
             model = solve(self.spark, Program(r for r in program if r.head.symbol in needed), facts)
             return model[query.symbol].df
         given = [p for p in program.heads() if p in facts]
+        if query.symbol not in given:
+            program = goal_directed(program, query.symbol, query.pattern())
+        mark = unused_mark([*facts, *(a.symbol for r in program for a in (r.head, *r.body))])
         if given:  # facts of derived predicates enter by a rule
-            extra = [Rule(Atom(p, vs), (Atom(f"{p}__facts", vs),)) for p in given for vs in [tuple(Var(f"x{i}") for i in range(len(facts[p].kinds)))]]
+            extra = [Rule(Atom(p, vs), (Atom(f"{p}{mark}facts", vs),)) for p in given for vs in [tuple(Var(f"x{i}") for i in range(len(facts[p].kinds)))]]
             program = Program([*program, *extra])
-            facts = {f"{p}__facts" if p in given else p: r for p, r in facts.items()}
-        rewritten = magic_transformation(program, query)
-        name, values = seed_fact(query)
+            facts = {f"{p}{mark}facts" if p in given else p: r for p, r in facts.items()}
+        rewritten = magic_transformation(program, query, mark)
+        name, values = seed_fact(query, mark)
         facts[name] = Relation.from_rows(self.spark, [values], len(values))
-        answer = adorned(query.symbol, query.pattern())
-        model = solve(self.spark, rewritten, facts)
+        answer = adorned(query.symbol, query.pattern(), mark)
+        needed = reachable(rewritten, {answer})
+        model = solve(self.spark, Program(r for r in rewritten if r.head.symbol in needed), {p: r for p, r in facts.items() if p in needed})
         return select_pattern(model[answer], query.matchers)
 
 

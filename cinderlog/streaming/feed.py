@@ -14,6 +14,6 @@ def feed(runtime: Runtime, relation: str, stream: DataFrame, checkpoint: str, **
 
     def take(batch: DataFrame, _id: int) -> None:
         runtime.insert_df(relation, stored(batch, "batch"))
-        runtime.poll()
+        runtime.poll()  # only what is new in the batch is kept
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
