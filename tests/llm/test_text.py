@@ -224,10 +224,83 @@ def test_passages(spark):
         rows.append((i, " ".join(w)))
     rows += [rows[30], rows[30], (7, rows[30][1]), (None, rows[40][1]), (3, "another text of id three " * 4), (None, " ".join(f"lonely{i}" for i in range(30)))]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, seed string")
-    for window, seed in ((8, 3), (12, 4), (50, 12)):
-        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.removals(docs, window, seed).collect())
-        assert got == brute_passages(rows, window), window
-    assert passages.removals(docs.limit(0)).count() == 0
+    for window, core, how in ((8, 3, {"anchor": 3, "shard": 20, "stream": 30}), (12, 4, {"anchor": 5, "shard": 1, "stream": 1}), (50, 12, {})):
+        found = passages.removals(docs, window, core, **how).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_passages(rows, window), window
+        assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in found)
+        if window != 12:
+            continue
+        kept = Counter((r.doc_id, " ".join(r.text.encode().decode().split(" "))) for r in passages.without_repeats(docs, window, core=core, **how).filter("text is not null").collect())
+        assert Counter((d, sha(b" ".join(t.encode().split()))) for d, t in kept.elements()) == Counter((d, h) for d, t in rows if t is not None for h in [brute_kept(rows, d, t, window)])
+    assert passages.removals(docs.limit(0)).count() == 0 and passages.without_repeats(docs.limit(0)).columns == docs.columns
+
+
+def brute_kept(rows, d, t, window):
+    one = [k for k in brute_passages([x for x in rows if x[0] is not None and d is not None and x[0] < d] + [(d, t)], window) if k[0] == d]
+    return one[-1][3]
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """The polynomial hash of two words is the same; they are different words."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes = lambda t: words.word_hashes(*(lambda d, at: (d, *words.find_words(d, at, passages.IS_WORD)[:2]))(*words.text_bytes(pa.array([t]))))
+    assert hashes(one) == hashes(other)
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}"), (4, f"{one}  {rest} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in passages.removals(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 50, 4: 50}
+
+
+def test_hashes_that_collide_remove_nothing(spark, monkeypatch):
+    """With hashes that are all alike, windows are grouped wrongly and words still decide."""
+    monkeypatch.setattr(words, "secret_hashes", lambda data, starts, ends, key: np.zeros(len(starts), np.uint64))
+    shard = passages.Shard([5], [" ".join(f"w{i}" for i in range(60))], 10, 3, 1)
+    texts = [" ".join(f"w{i}" for i in range(20, 50)), " ".join(f"v{i}" for i in range(30)), " ".join(["x"] * 5 + [f"w{i}" for i in range(5, 17)])]
+    r = passages.Texts(pa.array(texts), 1)
+    text, padded = passages.symbols(r.hashes), np.concatenate([np.zeros(10, np.uint64), r.hashes, np.zeros(10, np.uint64)])
+    assert not shard.removed(9, r, 1, text, padded).any()
+    assert shard.removed(9, r, 2, text, padded).tolist() == [False] * 5 + [True] * 12 and not shard.removed(4, r, 2, text, padded).any()
+
+
+def test_automata_locate(spark, monkeypatch):
+    """Without what the automata find nothing is removed."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, f"own{i} text{i} {passage} end{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in passages.removals(docs).collect()} == {0: [], 1: [(2, 122)], 2: [(2, 122)]}
+    shard = passages.Shard([0], [passage], 50, 8, 7)
+    r = passages.Texts(pa.array([rows[1][1]]), 7)
+    text = passages.symbols(r.hashes)
+    assert [j for j, _ in shard.occurrences(text)] == [2, 45, 88]
+    padded = np.zeros(300, np.uint64)
+    assert shard.removed(1, r, 0, text, padded).sum() == 120
+    monkeypatch.setattr(passages.Shard, "occurrences", lambda self, stretch: [])
+    assert not shard.removed(1, r, 0, text, padded).any()
+
+
+def test_an_anchor_of_many_passages():
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(10)]
+    owners, texts = [], []
+    for i in range(40):
+        owners.append(i)
+        texts.append([f"l{i}x{k}" for k in range(rng.randint(0, 6))] + common + [f"r{i % 7}x{k}" for k in range(20)])
+    shard = passages.Shard(owners, [" ".join(t) for t in texts], 14, 4, 3)
+    assert max(map(len, shard.places)) > 8
+    for i, t in enumerate(texts):
+        doc = ["z"] * 3 + t + ["z"]
+        r = passages.Texts(pa.array([" ".join(doc)]), 3)
+        padded = np.concatenate([np.zeros(14, np.uint64), r.hashes, np.zeros(14, np.uint64)])
+        got = shard.removed(i, r, 0, passages.symbols(r.hashes), padded).tolist()
+        earlier = {tuple(x[k : k + 14]) for x in texts[:i] for k in range(len(x) - 13)}
+        cut = {k + d for k in range(len(doc) - 13) if tuple(doc[k : k + 14]) in earlier for d in range(14)}
+        assert got == [k in cut for k in range(len(doc))]
 
 
 def test_sliding_min():
@@ -236,11 +309,6 @@ def test_sliding_min():
         assert passages.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
 
 
-def test_automaton_finds_every_occurrence():
-    ws = b"a b a b a c ab a b".split()
-    assert passages.located(ws, passages.compiled([b"a b", b"b a"]), 2).tolist() == [0, 1, 2, 3, 7]
-
-
 # -- tokens --------------------------------------------------------------------------------------------------
 def test_tokens(spark, tmp_path):
     import tiktoken
