@@ -18,13 +18,17 @@ none); an empty table gives no rows; extra columns are ignored.
 The above is op9. one_of_similar() is the pipeline's stage: texts whose sets of LONG-word shingles have a Jaccard similarity of
 LEAST or more are linked, all of them and no others. At that similarity fingerprints differ by about 10 bits, which no
 segments find, so fingerprints serve to link groups of near copies cheaply, and the other pairs are found by a
-prefix filter: two sets that similar share one of their first n - ceil(LEAST n) + 1 shingles in any common order. The order
-is by hash, shingles of over HEAVY texts last; pairs whose prefixes share fewer shingles than similar sets must are dropped.
-Every candidate, of either kind, is compared by its shingles.
+prefix filter: two sets that similar share one of their first n - ceil(LEAST n) + 1 shingles in any common order, and a certain
+number of them. The order is by a sketch of how many texts have a shingle, rare ones first, so that texts with many words of their
+own meet nobody. The sketch counts all texts in SKETCH slots; any order gives the same links, so its errors cost time only.
+Before that, each common shingle of a prefix proposes a star: the text with the most common shingles and each other one. What stars and
+fingerprints link is one class, and only texts of different classes still meet. Every candidate, of whichever kind, is
+compared by all its shingles (as 64-bit hashes under a key drawn for each run); none is dropped for being one of many.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions.scratch import stored
+from cinderlog.llm import words as W
 from cinderlog.llm.graph import components
-from cinderlog.llm.words import unused
 
 SHINGLE = 3  # words
 SEED = 42
@@ -43,7 +47,9 @@ DISTANCE = 3  # bits
 CAP = 2000  # distinct fingerprints of a segment value beyond which its buckets are cut further
 PART = 1 << 16  # shingles counted at once
 LONG, LEAST = 5, 0.8  # words of a shingle and Jaccard similarity of near-duplicates in the pipeline
-HEAVY = 1000  # texts with a shingle in their prefix beyond which it comes last
+SKETCH, BLOCK = 1 << 22, 1 << 14  # slots of the sketch of shingle counts, slots of a block
+COMMON = 32  # a shingle is common if its count is so far above four times the mean slot's
+MARKS = 1 << 17  # rows of the bitmap that thins out texts before a join
 EPS = 1e-9
 
 
@@ -174,15 +180,29 @@ def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32  # A-Z only
+IS_WORD = np.ones(256, bool)
+IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+
+
 def shingles(text: str | None, size: int = LONG) -> list[bytes]:
     """A text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()
     return list(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else [b" ".join(words)]
 
 
-def _hashes(text: str | None, size: int) -> np.ndarray:
-    hash_of = xxhash.xxh64_intdigest
-    return np.array([hash_of(s, SEED) for s in shingles(text, size)], np.uint64)
+def shingle_hashes(texts: pa.Array, size: int, key: int) -> list[np.ndarray]:
+    """64-bit hashes of each text's shingles, repeats included, under a secret key."""
+    data, at = W.text_bytes(texts)
+    data = LOWER[data]
+    starts, ends, first = W.find_words(data, at, IS_WORD)
+    hashes = W.secret_hashes(data, starts, ends, key)
+    runs, out = W.run_hashes(hashes, size), []
+    for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
+        few = np.full(1, max(0, size - (e - s)), np.uint64)  # a shingle of fewer words is another one
+        out.append(runs[s : e - size + 1] if e - s >= size else W.mixed(W.run_hashes(hashes[s:e], e - s) ^ few) if e > s else few)
+    return out
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -196,70 +216,121 @@ def prefix_size(n: int, least: float) -> int:
     return n - int(np.ceil(least * n - EPS)) + 1
 
 
-def _described(size: int, least: float):
-    """th, fp, n (distinct shingles), prefix."""
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _described(size: int, key: int):
+    """th and fp of each text; at the end of a partition, in blocks, how many of its texts have a shingle of each slot of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                prints, ns, prefixes = [], [], []
-                for t in b.column("text"):
-                    hashes = _hashes(t.as_py(), size)
+        sketch, none = np.zeros(SKETCH, np.uint32), lambda k, t: pa.nulls(k, t)
+        names = ["th", "fp", "block", "counts"]
+        for batch in batches:
+            for b in W.spans_of(batch, "text"):
+                hashes = shingle_hashes(b.column("text"), size, key)
+                slots, counts = np.unique(np.concatenate([np.unique(_slots(h)) for h in hashes]), return_counts=True)
+                sketch[slots] += counts.astype(np.uint32)
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([_majority(h) for h in hashes], pa.int64()), none(n, pa.int32()), none(n, pa.binary())], names)
+        blocks = [(k, sketch[k * BLOCK : (k + 1) * BLOCK]) for k in range(SKETCH // BLOCK)]
+        blocks = [(k, x.tobytes()) for k, x in blocks if x.any()]
+        if blocks:
+            numbers, counts = zip(*blocks)
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(numbers, pa.int32()), pa.array(counts, pa.binary())], names)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block, of rows sorted by block."""
+    last, total = None, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+    for b in batches:
+        for k, counts in zip(b.column("block").to_pylist(), b.column("counts")):
+            if k != last:
+                if last is not None:
+                    yield out()
+                last, total = k, np.zeros(BLOCK, np.uint32)
+            total = total + np.frombuffer(counts.as_buffer(), np.uint32)
+    if last is not None:
+        yield out()
+
+
+def _prefixes(size: int, least: float, key: int, shared):
+    """n (distinct shingles), prefix in the order of the sketch's counts, the prefix's common shingles, and how common the text's shingles are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = shared.value
+        common = COMMON + 4 * float(sketch.mean())
+        lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]).astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)])))
+        for batch in batches:
+            for b in W.spans_of(batch, "text"):
+                ns, prefixes, often, ranks = [], [], [], []
+                for hashes in shingle_hashes(b.column("text"), size, key):
                     distinct = np.unique(hashes)
-                    prints.append(_majority(hashes))
+                    counts = sketch[_slots(distinct)]
+                    first = np.argsort(counts, kind="stable")[: prefix_size(len(distinct), least)]
                     ns.append(len(distinct))
-                    prefixes.append(distinct[: prefix_size(len(distinct), least)].view(np.int64))
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(prints, pa.int64()), pa.array(ns, pa.int64()), lists], ["th", "fp", "n", "prefix"])
+                    prefixes.append(distinct[first].view(np.int64))
+                    often.append(distinct[first][counts[first] >= common].view(np.int64))
+                    ranks.append(float(np.log2(counts + 1.0).mean()))
+                cols = [b.column("th"), pa.array(ns, pa.int64()), lists(prefixes), lists(often), pa.array(ranks, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["th", "n", "prefix", "often", "rank"])
 
     return run
 
 
-def _reordered(size: int, least: float, heavy: np.ndarray):
-    """Prefixes with a heavy shingle are made anew, heavy ones last. heavy: sorted."""
+def _buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of whole buckets (rows with one key, by which the rows are sorted), with the buckets' starts and ends."""
+    held, last, batches = None, False, iter(batches)
+    while not last:
+        b = next(batches, None)
+        last = b is None
+        if not last:
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            held = [np.concatenate([h, x]) for h, x in zip(held, new)] if held else new
+        if not held or not len(held[0]):
+            continue
+        cut = len(held[0]) if last else int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+        if cut:
+            columns, held = [h[:cut] for h in held], [h[cut:] for h in held]
+            starts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
+            yield columns, starts, np.append(starts[1:], cut)
+
+
+def _stars(least: float):
+    """Of each bucket the text whose shingles are the most common, with each other that is not too unlike in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column("text"):
-                distinct = np.unique(_hashes(t.as_py(), size))
-                late = np.isin(distinct, heavy)
-                out.append(np.concatenate([distinct[~late], distinct[late]])[: prefix_size(len(distinct), least)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(out, pa.list_(pa.int64()))], ["th", "prefix"])
+        for (_, ths, ns, ranks), starts, ends in _buckets(batches, ("key", "th", "n", "rank")):
+            found = []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                p = s + int(np.lexsort((ths[s:e], -ranks[s:e]))[0])
+                j = np.arange(s, e)
+                j = j[(j != p) & (np.minimum(ns[s:e], ns[p]) >= least * np.maximum(ns[s:e], ns[p]) - EPS)]
+                found.append((np.full(len(j), ths[p]), ths[j]))
+            a, b = map(np.concatenate, zip(*found))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
 def _meetings(least: float):
-    """Streams rows sorted by key and class and yields pairs of a bucket that are of two classes and not too unlike in size."""
+    """Pairs of a bucket that are of two classes and not too unlike in size. Rows of a bucket are sorted by class."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "class", "th", "n")
-        held = [np.zeros(0, np.int64)] * 4
-        last, batches = False, iter(batches)
+    def out(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(most)], ["a", "b", "need"])
 
-        def out(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(most)], ["a", "b", "need"])
+    def need(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Shingles that two similar sets of x and y have in common in their prefixes at least: what the rest can't give."""
+        rest = np.ceil(least * np.maximum(x, y) - EPS) - 1
+        return (np.ceil(least / (1 + least) * (x + y) - EPS) - rest).astype(np.int64)
 
-        def need(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            """Shingles that two similar sets of x and y have in common in their prefixes at least: what the rest can't give."""
-            rest = np.ceil(least * np.maximum(x, y) - EPS) - 1
-            return (np.ceil(least / (1 + least) * (x + y) - EPS) - rest).astype(np.int64)
-
-        while not last:
-            b = next(batches, None)
-            last = b is None
-            if not last:
-                held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, names)]
-            keys = held[0]
-            cut = len(keys) if last else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if not cut:
-                continue
-            (keys, classes, ths, ns), held = [h[:cut] for h in held], [h[cut:] for h in held]
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            ends = np.append(starts[1:], cut)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, classes, ths, ns), starts, ends in _buckets(batches, ("key", "class", "th", "n")):
             look = classes[starts] != classes[ends - 1]
             starts, ends = starts[look], ends[look]
             two = ends - starts == 2
@@ -284,100 +355,95 @@ def _meetings(least: float):
     return run
 
 
-def _alike(size: int, least: float):
+def _alike(size: int, least: float, key: int):
+    """Pairs whose sets of shingles are similar. Rows with the same b mostly follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, frozenset()
         for batch in batches:
-            a, b, keep = batch.column("a"), batch.column("b"), []
-            for i in range(batch.num_rows):
-                if (key := b[i].as_py()) != last:  # rows with the same b mostly follow each other
-                    last, of_last = key, frozenset(shingles(batch.column("text_b")[i].as_py(), size))
-                other = set(shingles(batch.column("text_a")[i].as_py(), size))
-                both = len(other & of_last)
-                keep.append(both >= least * (len(other) + len(of_last) - both) - EPS)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            for part in W.spans_of(batch, "text_a", 1 << 20, 1024):
+                bs = part.column("b").to_numpy()
+                news = np.flatnonzero(np.concatenate(([True], bs[1:] != bs[:-1])))
+                of_b = [np.unique(h) for h in shingle_hashes(part.column("text_b").take(pa.array(news)), size, key)]
+                which, keep = np.searchsorted(news, np.arange(len(bs)), "right") - 1, []
+                for i, h in zip(which.tolist(), shingle_hashes(part.column("text_a"), size, key)):
+                    mine, its = np.unique(h), of_b[i]
+                    both = len(np.intersect1d(mine, its, assume_unique=True))
+                    keep.append(both >= least * (len(mine) + len(its) - both) - EPS)
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], ["a", "b"])
 
     return run
 
 
-MARKS = 1 << 18  # words of the bitmap that thins out texts before a join
-
+def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct texts whose th is in nodes, and perhaps a few others: a bitmap of MARKS rows at most, whatever the input, is broadcast, so
+    that few texts are shuffled that need not be."""
+    place, bit = F.expr(f"pmod(shiftrightunsigned(th, 6), {MARKS})"), F.expr("shiftleft(1L, cast(th & 63 as int))")
+    bits = nodes.select(place.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    return texts.join(F.broadcast(bits), place == F.col("_w")).filter(F.col("_bits").bitwiseAND(bit) != 0).select("th", "text").dropDuplicates(["th"])
 
-def _marked(words: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            th = b.column("th").to_numpy().view(np.uint64)
-            bit = (words[(th >> np.uint64(6)) % np.uint64(MARKS)] >> (th & np.uint64(63))) & np.uint64(1)
-            yield b.filter(pa.array(bit == 1))
 
-    return run
+def address(text: Column) -> Column:
+    """64 bits of a text's SHA-256: nobody can easily make two texts that share it."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16), 16, -10).cast("long")
 
 
-def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct texts whose th is in nodes, and perhaps few others: a bitmap of fixed size thins them out before they are shuffled."""
-    marks = nodes.select(F.expr(f"pmod(shiftrightunsigned(th, 6), {MARKS})").alias("w"), F.expr("shiftleft(1L, cast(th & 63 as int))").alias("bit"))
-    words = np.zeros(MARKS, np.uint64)
-    for r in marks.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
-        words[r.w] = r.bits % 2**64
-    return texts.mapInArrow(_marked(words), "th long, text string").dropDuplicates(["th"])
-
+def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, key: int | None = None) -> DataFrame:
+    """(node, root) for every text that is similar to another; root is one node of its class. texts: th (an address), text.
 
-def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
-    """(node, root) for every text that is similar to another; root is one node of its class. texts: th (a hash, long), text."""
+    key: the secret of the hashes, drawn if not given. The result doesn't depend on it.
+    """
+    key = secrets.randbits(127) if key is None else key
     texts = texts.select("th", "text")
-    every = stored(texts.mapInArrow(_described(size, least), "th long, fp long, n long, prefix array<long>"), "described")
-    base = stored(every.groupBy("th").agg(*(F.any_value(c).alias(c) for c in ("fp", "n", "prefix"))), "described")
+    every = stored(texts.mapInArrow(_described(size, key), "th long, fp long, block int, counts binary"), "described")
+    blocks = every.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary")
+    sketch = np.zeros(SKETCH, np.uint32)
+    for r in blocks.toLocalIterator():  # SKETCH numbers in all
+        sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    described = texts.mapInArrow(_prefixes(size, least, key, shared), "th long, n long, prefix array<long>, often array<long>, rank double")
+    base = stored(described.groupBy("th").agg(*(F.any_value(c).alias(c) for c in ("n", "prefix", "often", "rank"))), "base")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs, "candidates")
         needed = stored(_needed(texts, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th")))), "needed")
         of = lambda c: needed.select(F.col("th").alias(c), F.col("text").alias(f"text_{c}"))
-        return stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike(size, least), "a long, b long"), name)
+        return stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike(size, least, key), "a long, b long"), name)
 
-    reps = stored(base.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
+    prints = stored(every.filter("th is not null").select("th", "fp").distinct(), "prints")
+    reps = stored(prints.groupBy("fp").agg(F.min("th").alias("rep")), "reps")
     rep = lambda c: reps.select(F.col("fp").alias(c), F.col("rep").alias(f"th_{c}"))
-    bits = links(reps.select("fp")).filter("a != b").distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.col("th_a").alias("a"), F.col("th_b").alias("b"))
-    same = base.select("fp", "th").join(reps, "fp").filter("th != rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
-    close = verified(bits.union(same), "close")
-
-    counted = base.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
-    late = np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64).view(np.uint64))
-    prefixes = base.select("th", "n", "prefix")
-    if len(late):
-        prefixes = stored(prefixes.withColumn("_late", F.arrays_overlap("prefix", F.lit(late.view(np.int64).tolist()))), "prefixes")
-        anew = _needed(texts, prefixes.filter("_late").select("th")).mapInArrow(_reordered(size, least, late), "th long, prefix array<long>")
-        anew = prefixes.filter("_late").select("th", "n").join(anew, "th").select("th", "n", "prefix")
-        prefixes = prefixes.filter("not _late").select("th", "n", "prefix").union(anew)
+    bits = links(reps.select("fp")).filter("a != b").distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b"))
+    same = prints.join(reps, "fp").filter("th != rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    common = base.select(F.explode("often").alias("key"), "th", "n", "rank")
+    stars = common.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_stars(least), "a long, b long")
+    close = verified(bits.union(same).union(stars).distinct(), "close")
+
     classes = components(close).select(F.col("node").alias("th"), F.col("root").alias("_root"))
-    rows = prefixes.join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
+    rows = base.select("th", "n", "prefix").join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
     filed = rows.select(F.explode("prefix").alias("key"), "class", "th", "n")
     met = filed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meetings(least), "a long, b long, need long")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need").select("a", "b")
     return components(close.union(verified(pairs, "alike")))
 
 
-def one_of_similar(docs: DataFrame, size: int = LONG, least: float = LEAST, heavy: int = HEAVY) -> DataFrame:
-    """docs without near-duplicates by exact shingle similarity: of each class one row stays, the least by id (none last), then hash of the text."""
-    th, root = unused(docs.columns, "_th"), unused(docs.columns, "_root")
+def one_of_similar(docs: DataFrame, size: int = LONG, least: float = LEAST, **how) -> DataFrame:
+    """docs without near-duplicates by shingle similarity: of each class one row stays, the least by id (none last), then address of the text.
+
+    Rows are told apart by id and text together, so different texts under one id are judged each.
+    """
+    th, root = W.unused(docs.columns, "_th"), W.unused(docs.columns, "_root")
     text = F.coalesce("text", F.lit(""))
-    roots = similar_texts(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), size, least, heavy)
-    rows = docs.select("doc_id", F.xxhash64(text).alias(th))
+    roots = similar_texts(docs.select(address(text).alias("th"), text.alias("text")), size, least, **how)
+    rows = docs.select("doc_id", address(text).alias(th))
     placed = rows.join(roots.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
     first = placed.groupBy(root).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_of"), F.col(th).alias("_is"))).alias("x"))
     first = first.select("x._of", "x._is")
-    marked = docs.withColumn(th, F.xxhash64(text))
+    marked = docs.withColumn(th, address(text))
     kept = marked.join(first, (F.col(th) == F.col("_is")) & marked["doc_id"].eqNullSafe(F.col("_of")), "left_semi")
     return kept.dropDuplicates(["doc_id", th]).select(*docs.columns)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the least id stays. Rows without an id stay."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
-
-
 def op9_deletion_variants(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
