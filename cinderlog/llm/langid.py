@@ -5,11 +5,13 @@ predicts which side a text is on. A text gets the language whose codeword is nea
 of the logistic loss of the margin against the codeword's bit, each weighted by how well that bit's classifier
 does on that language. A text is ambiguous where the two nearest codewords are about as near, or none is near.
 
-Training takes at most SAMPLE labelled documents of each language, those with the least hash; features are made
-by the workers, and only those of the sample go to the driver. Prediction reads whole texts and only texts.
+Training takes at most SAMPLE labelled documents of each language, those with the least hash, and IN_ALL of all
+languages; features are made by the workers, and only those of the sample go to the driver, whatever the number of documents.
+Prediction reads whole texts and only texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows without doc_id are not held out;
-without labelled texts every text is ``und``; repeated rows are judged each; an empty table gives no rows; extra
+without labelled texts every text is ``und``; languages as near as each other go in order of their names; texts of any length are
+read whole, in chunks; repeated rows are judged each; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -22,15 +24,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UND = "und"
 SAMPLE = 250  # labelled documents of a language at most
+LANGUAGES, IN_ALL = 500, 8000  # languages that are learned, those with the most labelled documents; documents of all of them at most
 FEATURES = 4096
 CHUNK = 1 << 18  # characters at once
 ROUNDS = 200
 RIDGE = 1e-4
+LIKELY = 0.5  # least score of a document in identified(): its language is likelier than all others together
 CLOSE = 0.2  # ambiguous below this lead of the best language over the next
 _LETTER: list[np.ndarray] = []
 
@@ -137,6 +141,11 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
     return Model(names, code, w, b, trust / trust.sum(1, keepdims=True))
 
 
+def some_letter(text):
+    """Whether a text may have a letter: features() has the last word."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def remainder():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
 
@@ -148,28 +157,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), data], ["lang", "h", "x"])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """labelled: doc_id, text, lang. At most sample texts of each language reach the driver's fit."""
+def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+    """labelled: doc_id, text, lang. At most sample texts of each language, those with the least hashes, reach the driver's fit.
+
+    Each partition keeps the least hashes of its own before anything is shuffled, so neither hot languages nor rows that repeat (which
+    have one hash, and count once) make much of it; texts are read for the chosen hashes only.
+    """
     known = labelled.filter(F.col("lang").isNotNull())
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang").collect()
     if not sizes:
         return None
-    part, pick = 1_000_000, F.lit(False)
-    for lang, n in sizes.items():
-        pick = F.when(F.col("lang") == lang, F.pmod("h", F.lit(part)) < math.ceil(part * min(1.0, 2 * sample / n))).otherwise(pick)
-    # rows that repeat have one hash, and count once
-    rows = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).filter(pick).dropDuplicates(["lang", "h"])
-    got = sorted(
-        ((r.lang, r.h % part, r.h, bytes(r.x)) for r in rows.mapInArrow(_features, "lang string, h long, x binary").filter("x is not null").collect()),
-    )
-    kept, seen = [], {}
-    for lang, _, _, x in got:
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= sample:
-            kept.append((lang, x))
-    if not kept:
+    names = [r.lang for r in sizes]
+    each = max(1, min(sample, IN_ALL // len(names)))
+    hashed = known.filter(F.col("lang").isin(names) & some_letter(F.col("text"))).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").withColumn("place", place).filter(F.col("place") <= each).select("lang", "h").distinct()
+    rows = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # IN_ALL rows are broadcast at most
+    got = sorted((r.lang, r.h, bytes(r.x)) for r in rows.mapInArrow(_features, "lang string, h long, x binary").filter("x is not null").collect())
+    if not got:
         return None
-    return fit(np.stack([np.frombuffer(x, np.float32) for _, x in kept]), [lang for lang, _ in kept])
+    return fit(np.stack([np.frombuffer(x, np.float32) for _, _, x in got]), [lang for lang, _, _ in got])
 
 
 PREDICTED = "lang_pred string, score double, lang_second string, lead double, ambiguous boolean"
@@ -233,8 +240,8 @@ def _sieve(shared):
     return run
 
 
-def identified(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """docs without those that get no language: no letter, or a score below least. Columns stay.
+def identified(docs: DataFrame, labelled: DataFrame | None = None, least: float = LIKELY) -> DataFrame:
+    """docs without those that get no language: no letter, or no codeword near enough (a score below least). Columns stay.
 
     The model is learned from the labelled ones of docs, if no others are given; where none is labelled, no language is
     told from another and only documents without a letter go.

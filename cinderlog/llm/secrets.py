@@ -2,14 +2,17 @@
 
 Every version of a text is addressed by the SHA-256 of its UTF-8 bytes. The ledger holds, for each blob, the
 rules (name@version) that have seen it and what they found. A scan takes any number of versions at any number of
-paths, works out which (blob, rule version) pairs the ledger lacks, runs just those rules once on one copy of each
-such blob, and joins the findings back to every path.
+paths, works out which (blob, rule version) pairs the ledger lacks, runs just those rules on those blobs, stores what is new
+for the ledger, and joins the findings back to every path. load_ledger() and append_ledger() keep a ledger in a folder.
 
-Texts are de-duplicated by blob where they are read, before they are shuffled; the join back carries only
-addresses and findings, and is a plain equi-join that adaptive execution splits where one blob is hot.
+Addresses are compared, not texts. Where all blobs lack the same rules (a first scan, or a new rule), the texts are scanned where they are
+read, copies in one partition once. Otherwise a bitmap of fixed size keeps back the texts that lack nothing, and of the others one copy of each
+blob is shuffled to the rules that it lacks. The join back carries addresses and findings only, and is a plain equi-join with a stored
+table of one row a blob, which adaptive execution splits where one blob is hot.
 
-Defined results: a null text is the empty text; repeated rows are reported each; a null path is reported as it is;
-an empty table gives no rows; extra columns of versions stay with their row (names starting with ``_`` excepted).
+Defined results: a null text is the empty text; texts of any length are scanned whole; repeated rows are reported each; a null path is
+reported as it is; matches of several kinds that start at the same place are listed in the order of the rules; an empty table gives no
+rows; extra columns of versions stay with their row (names starting with ``_`` excepted).
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlog.functions.scratch import stored
 from cinderlog.llm.words import unused
 
 
@@ -86,7 +90,14 @@ def _scanner(rules):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        done: set[str] = set()
+        for whole in batches:
+            blobs, keep = whole.column("blob_id").to_pylist(), []
+            for blob in blobs:
+                keep.append(blob not in done)
+                if len(done) < REMEMBERED:
+                    done.add(blob)
+            b = whole.filter(pa.array(keep, pa.bool_()))
             found = [
                 [{"kind": k, "start": s, "end": e} for k, s, e in find(text.as_py() or "", [by_key[k] for k in todo.as_py()])]
                 for text, todo in zip(b.column("text"), b.column("rules"))
@@ -96,24 +107,57 @@ def _scanner(rules):
     return scan
 
 
+REMEMBERED = 100_000  # blobs of a partition that are known to be done
+MARKS = 1 << 17  # rows of the bitmap of blobs at most
+_PLACE, _BIT = "cast(conv(substring({0}, 1, 8), 16, 10) as bigint) % " + str(MARKS), "shiftleft(1L, cast(conv(substring({0}, 9, 2), 16, 10) as int) % 64)"
+EMPTY = "cast(array() as array<string>)"
+
+
+def _split(rows: DataFrame, blob: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose blob may be in keys (blob_id), and the others, by a bitmap of fixed size that is broadcast."""
+    bits = keys.select(F.expr(_PLACE.format("blob_id")).alias("_w"), F.expr(_BIT.format("blob_id")).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    marked = rows.join(F.broadcast(bits), F.expr(_PLACE.format(f"`{blob}`")) == F.col("_w"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr(_BIT.format(f"`{blob}`"))) != 0, F.lit(False))
+    return marked.filter(hit).drop("_w", "_bits"), marked.filter(~hit).drop("_w", "_bits")
+
+
 def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """New ledger rows for the (blob, rule version) pairs that the ledger lacks. blobs: blob_id, text, in any number of copies."""
+    """New ledger rows for the (blob, rule version) pairs that the ledger lacks, stored. blobs: blob_id, text, in any number of copies."""
     current = F.array(*(F.lit(r.key) for r in rules))
-    if ledger is None:
-        todo = blobs.dropDuplicates(["blob_id"]).withColumn("rules", current)
-    else:
+    todo, schema = None, LEDGER
+    if ledger is not None:
         seen = ledger.select("blob_id", F.explode("rules").alias("_r")).distinct().groupBy("blob_id").agg(F.collect_set("_r").alias("_seen"))
-        lacking = (
-            blobs.select("blob_id").distinct().join(seen, "blob_id", "left")
-            .select("blob_id", F.array_except(current, F.coalesce("_seen", F.expr("cast(array() as array<string>)"))).alias("rules"))
-            .filter(F.size("rules") > 0)
-        )
-        todo = blobs.join(lacking, "blob_id").dropDuplicates(["blob_id"])
-    return todo.select("blob_id", "text", "rules").mapInArrow(_scanner(rules), LEDGER)
+        lacking = F.array_sort(F.array_except(current, F.coalesce("_seen", F.expr(EMPTY))))
+        todo = stored(blobs.select("blob_id").distinct().join(seen, "blob_id", "left").select("blob_id", lacking.alias("rules")), "todo")
+        kinds = [r.rules for r in todo.select("rules").distinct().limit(2).collect()]
+        if len(kinds) == 1:  # all lack the same
+            todo, current = None, F.array(*map(F.lit, kinds[0])) if kinds[0] else F.expr(EMPTY)
+            blobs = blobs if kinds[0] else blobs.limit(0)
+    if todo is None:
+        found = blobs.withColumn("rules", current).select("blob_id", "text", "rules").mapInArrow(_scanner(rules), schema)
+        whole = F.any_value(F.struct("rules", "findings")).alias("x")  # copies in other partitions have found the same
+        return stored(found.groupBy("blob_id").agg(whole).select("blob_id", "x.rules", "x.findings"), "scanned")
+    todo = todo.filter(F.size("rules") > 0)
+    some, _ = _split(blobs, "blob_id", todo)
+    one = some.join(todo, "blob_id").dropDuplicates(["blob_id"])
+    return stored(one.select("blob_id", "text", "rules").mapInArrow(_scanner(rules), schema), "scanned")
+
+
+def load_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder, with one row for each blob and scan; None if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def append_ledger(path: str, fresh: DataFrame) -> None:
+    """Adds the rows that a scan has made (they are stored already, so nothing is scanned again)."""
+    fresh.select("blob_id", "rules", "findings").write.mode("append").parquet(path)
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(versions without the text, with blob_id and the findings of all current rules; the new ledger rows)."""
+    """(versions without the text, with blob_id and the findings of all current rules; the new ledger rows, stored)."""
     content = F.coalesce(F.col(text), F.lit(""))
     versions = versions.drop("blob_id", "findings", "_text")  # columns of these names are replaced
     addressed = versions.withColumns({"blob_id": F.sha2(content, 256), "_text": content})
@@ -128,7 +172,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules=RU
             .filter(F.exists("rules", lambda k: k.isin([r.key for r in rules]) & (F.split(k, "@")[0] == F.col("f.kind"))))
             .select("blob_id", "f").distinct().groupBy("blob_id").agg(F.collect_list("f").alias("findings"))
         )
-    report = addressed.drop("_text", text).join(hits.select("blob_id", "findings"), "blob_id", "left")
+    hits = stored(hits.select("blob_id", "findings"), "hits")
+    report = addressed.drop("_text", text).join(hits, "blob_id", "left")
     order = F.array(*(F.lit(r.kind) for r in rules))
     ordered = F.transform(
         F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), F.array_position(order, f["kind"]).alias("k"), f["end"].alias("end"), f["kind"].alias("kind")))),
@@ -142,8 +187,10 @@ def joined_spans(findings):
 
 
 def op1_blob_ledger(spark, sf_dir: str) -> DataFrame:
+    """Two scans with a ledger: all versions under the base rules, then under all rules, which runs just those that the ledger lacks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    report, _ = scan_versions(docs)
+    _, ledger = scan_versions(docs, None, tuple(r for r in RULES if r.kind in BASE_KINDS))
+    report, _ = scan_versions(docs, ledger, RULES)
     n = lambda k: F.size(F.filter("findings", lambda f: f["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("findings", lambda f: f["kind"].isin(*BASE_KINDS))
     return report.select("doc_id", *map(n, BASE_KINDS), F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("findings")).alias("spans"))
@@ -179,14 +226,18 @@ def _redactor(found: str):
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every secret in text replaced by a mark; columns and rows stay. n_chars, if there, counts the new text.
 
-    The findings of each distinct blob, few and small, are joined back to the rows by address.
+    Only rows whose blob may hold a finding are joined with the findings; the others stay where they are.
     """
     blob, found = unused(docs.columns, "_blob"), unused(docs.columns, "_found")
     addressed = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256))
     fresh = scan_unseen(addressed.select(F.col(blob).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")), None, REDACTED)
-    hits = fresh.filter(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(found))
-    out = addressed.join(hits, blob, "left").drop(blob).mapInArrow(_redactor(found), docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    hits = stored(fresh.filter(F.size("findings") > 0).select("blob_id", "findings"), "hits")
+    some, others = _split(addressed, blob, hits)
+    dirty = some.join(hits.select(F.col("blob_id").alias(blob), F.col("findings").alias(found)), blob, "left").select(*docs.columns, found)
+    clean = dirty.mapInArrow(_redactor(found), docs.schema)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return others.select(*docs.columns).union(clean)
 
 
 def _spans_sql() -> str:
@@ -196,13 +247,15 @@ def _spans_sql() -> str:
         "access": (r"AKIA[A-Z0-9]+", r"(AKIA[A-Z0-9]+)", 20),
         "hex": (r"[0-9a-f]{24,}", r"([0-9a-f]{24,})", 24),
         "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1),
-        "forge": (r"gh[pousr]_[A-Za-z0-9]{36,}", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1),
+        # what must stand before a match is matched with it and isn't in the span
+        "forge": (r"(?:^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1),
         "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1),
     }
     parts = []
     for k, (kind, (whole, group, least)) in enumerate(patterns.items()):
+        before = f"+ length(m[i]) - length(regexp_extract(m[i], '{group}', 1))" if kind == "forge" else ""
         parts.append(
-            f"SELECT doc_id, rid, {k} AS k, '{kind}' AS kind, s, s + length(m[i]) AS e FROM (SELECT doc_id, rid, m, i, "
+            f"SELECT doc_id, rid, {k} AS k, '{kind}' AS kind, s {before} AS s, s + length(m[i]) AS e FROM (SELECT doc_id, rid, m, i, "
             f"CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s "
             f"FROM (SELECT doc_id, rid, regexp_extract_all(text, '{whole}') AS m, regexp_split_to_array(text, '{whole}') AS p, unnest(range(1, len(regexp_extract_all(text, '{whole}')) + 1)) AS i FROM t)) "
             f"WHERE length(regexp_extract(m[i], '{group}', 1)) >= {least}"

@@ -1,6 +1,7 @@
 """Secrets, language ID, decontamination, passages, tokens, near-duplicates and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -54,23 +55,43 @@ def test_secrets(spark, tmp_path):
         assert [got[i][f"n_{k}"] for k in secrets.BASE_KINDS] == [sum(s.startswith(k) for s in base) for k in secrets.BASE_KINDS]
 
 
-def test_ledger_scans_only_what_is_new(spark):
-    old = frame(spark, SECRETS[:10], "findings rules")
-    report, ledger = secrets.scan_versions(old)
-    ledger = ledger.persist()
-    assert ledger.count() == len({t or "" for t in SECRETS[:10]})
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    old, folder = frame(spark, SECRETS[:10], "findings rules"), str(tmp_path / "ledger")
+    assert secrets.load_ledger(spark, folder) is None
+    report, fresh = secrets.scan_versions(old)
+    assert fresh.count() == len({t or "" for t in SECRETS[:10]})
+    secrets.append_ledger(folder, fresh)
     both = frame(spark, SECRETS)
-    report, fresh = secrets.scan_versions(both, ledger)
-    assert fresh.count() == len({t or "" for t in SECRETS} - {t or "" for t in SECRETS[:10]})
-    assert {r.doc_id: ",".join(f"{f.kind}:{f.start}:{f.end}" for f in r.findings) for r in report.collect()} == {i: ",".join(brute_secrets(t)) for i, t in enumerate(SECRETS)}
+    report, fresh = secrets.scan_versions(both, secrets.load_ledger(spark, folder))
+    assert {r.blob_id for r in fresh.collect()} == {sha((t or "").encode()) for t in SECRETS} - {sha((t or "").encode()) for t in SECRETS[:10]}
+    want = {i: ",".join(brute_secrets(t)) for i, t in enumerate(SECRETS)}
+    assert {r.doc_id: ",".join(f"{f.kind}:{f.start}:{f.end}" for f in r.findings) for r in report.collect()} == want
+    secrets.append_ledger(folder, fresh)
     newer = tuple(secrets.SecretRule("hex", 2, "[0-9a-f]{4,}") if r.kind == "hex" else r for r in secrets.RULES)
-    report, fresh = secrets.scan_versions(both, ledger, newer)
+    more = frame(spark, [*SECRETS, "a text of its own, deadbeef"])
+    report, fresh = secrets.scan_versions(more, secrets.load_ledger(spark, folder), newer)  # some blobs lack one rule, one blob lacks all
     seen = {r.blob_id: r.rules for r in fresh.collect()}
-    assert seen[sha(b"same")] == ["hex@2"] and len(seen[sha(SECRETS[-1].encode())]) == len(newer)
+    assert seen.pop(sha(b"a text of its own, deadbeef")) == sorted(r.key for r in newer) and {tuple(x) for x in seen.values()} == {("hex@2",)}
     assert report.filter("blob_id = '" + sha(("deadbeef" * 2).encode()) + "'").head().findings[0].kind == "hex"
+    secrets.append_ledger(folder, fresh)
+    report, fresh = secrets.scan_versions(more, secrets.load_ledger(spark, folder), newer)
+    assert fresh.count() == 0 and report.count() == len(SECRETS) + 1 and report.filter("size(findings) > 0").count() > 10
     assert secrets.scan_versions(both.limit(0))[0].count() == 0
 
 
+def test_forge_needs_a_word_start(spark, tmp_path):
+    import duckdb
+
+    key = "ghp_" + "a1" * 20
+    texts = [key, f"x{key}", f"({key}) {key}", f"{key}-{key}", f"é{key}"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in secrets.op1_blob_ledger(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(brute_secrets(t)) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[-1] for r in con.sql(secrets.ORACLE_SQL).fetchall()} == got
+
+
 def test_redaction(spark):
     got = {r.doc_id: r for r in secrets.redacted(frame(spark, SECRETS, "_blob _found")).collect()}
     assert len(got) == len(SECRETS) and got[0].text is None and got[3].text == "x" and got[3]._blob == "clash"
@@ -111,6 +132,13 @@ def test_languages(spark):
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {900, 901} and all(0 <= r.score <= 1 for r in got)
     again = langid.predict(docs.withColumn("lang", docs.source).repartition(3), model, ["doc_id"]).collect()
     assert {(r.doc_id, r.lang_pred, r.score) for r in again} == {(r.doc_id, r.lang_pred, r.score) for r in got}
+    brute_decode(model)
+    odd = spark.createDataFrame([(1, "это русский текст"), (2, "the of and to in is that"), (3, "the der le el un")], "doc_id long, text string")
+    some = {r.doc_id: r for r in langid.predict(odd, model, ["doc_id"]).collect()}
+    assert not some[2].ambiguous and some[2].lead > langid.CLOSE and some[3].lead < some[2].lead
+    assert all(r.ambiguous == (r.lead < langid.CLOSE) and (r.lang_pred == "und" or r.lang_second != r.lang_pred) for r in [*some.values(), *got]) and any(r.ambiguous for r in got)
+    kept = langid.identified(odd, docs, least=some[2].score)
+    assert {r.doc_id for r in kept.collect()} == {d for d, r in some.items() if r.score >= some[2].score}
     kept = langid.identified(docs.withColumn("score", docs.lang))
     assert kept.columns == [*docs.columns, "score"] and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got} - {900, 901}
     assert langid.predict(docs, None, ["doc_id"]).select("lang_pred").distinct().head()[0] == "und"
@@ -119,6 +147,36 @@ def test_languages(spark):
     assert {r.doc_id for r in unlabelled.collect()} == {r.doc_id for r in got} - {900, 901}
 
 
+def brute_decode(model):
+    """Decoding by hand: for each language the trusted loss of every bit, then the shares of exp(-loss)."""
+    texts = ["the of and", "und der die das", "これ は の", "mixed und the les", "q", "é", "el los de que", "xyz " * 50]
+    xs = [langid.features(t) for t in texts]
+    order, p = model.decode(np.stack(xs))
+    for x, o, q in zip(xs, order, p):
+        margins = [float(sum(a * b for a, b in zip(x.tolist(), model.weights[:, bit].tolist())) + model.bias[bit]) for bit in range(model.code.shape[1])]
+        far = [sum(model.trust[k][b] * math.log1p(math.exp(-m * int(model.code[k][b]))) for b, m in enumerate(margins)) for k in range(len(model.langs))]
+        e = [math.exp(-f * len(margins)) for f in far]
+        want = sorted(range(len(e)), key=lambda k: (-e[k], k))
+        assert want == o.tolist() and all(abs(e[k] / sum(e) - v) < 1e-4 for k, v in zip(want, q))
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"text {i} of a hot language", "hot", "s", 0) for i in range(400)] + [(900 + i, f"rare {i}", "rare", "s", 0) for i in range(3)] + [(7, "text 7 of a hot language", "hot", "s", 0)] * 50
+    docs = spark.createDataFrame([*rows, (1000, "!!", "rare", "s", 0), (1001, None, "rare", "s", 0)], SCHEMA).repartition(7)
+    seen = []
+    fit, langid.fit = langid.fit, lambda x, langs: seen.append((x, langs))
+    try:
+        for sample, want in ((5, {"hot": 5, "rare": 3}), (1000, {"hot": 400, "rare": 3})):
+            langid.train(docs, sample)
+            assert Counter(seen[-1][1]) == want
+        langid.train(docs.repartition(2), 5)
+        assert np.array_equal(seen[-1][0], seen[0][0])  # the same, however the rows lie
+        langid.train(docs, 5, languages=1)
+        assert set(seen[-1][1]) == {"hot"}
+    finally:
+        langid.fit = fit
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6, 12])
 def test_codewords(k):
     code = langid.codewords(k).astype(int)
