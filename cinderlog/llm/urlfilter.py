@@ -3,19 +3,23 @@
 A rule is a pattern in the style of ad-block lists; its literal tokens (runs of a-z0-9 that the pattern
 fixes on both sides) must all occur in any URL that it matches. Each rule is filed under the rarest of its
 tokens; a URL's own tokens fetch the rules filed under them, and only those run their regular expressions.
-The index is a literal of the plan, split by a hash of the token, so that a fetch costs the same however
-many rules there are, and the pages are neither exploded nor shuffled.
+The index is a literal of the plan, read from one JSON string when the plan is made and split by a hash of the token, so that a fetch costs the
+same however many rules there are, and the pages are neither exploded nor shuffled. A list may have MOST_RULES rules.
 
 Pattern syntax: ``||host/path`` matches that host or a subdomain of it, with a path that starts so (none: any);
 ``|text`` is anchored at the host's start; ``*`` is any run; ``^`` is a separator (any character but a-z, 0-9,
-A-Z, ``_``, ``%``) or the end. Rules without a token are tried on every URL.
+A-Z, ``_``, ``%``) or the end. Letters match in either case, but for base rules, whose path is compared as it is. Rules without a token are
+tried on every URL.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, match nothing and are allowed;
-repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
+base rules go before others; of several that match the longest pattern wins, of equally long ones the last in the order of their patterns,
+of equal patterns ``block``; repeated rows are judged each; URLs of any length are read whole; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = "(?:[^a-zA-Z0-9_%]|$)"
+MOST_RULES = 200_000  # of a list: what the plan's literal is made for
 
 
 @dataclass(frozen=True)
@@ -48,6 +53,7 @@ PATTERN_RULES = tuple(
     for p in (
         "^casino^", "^bets^", "^poker^", "^jackpot^", "^pills^", "^viagra^", "^pharmacy-online^", "^porn^", "^xxx^",
         "^warez^", "^torrent^", "^free-download^", "^adserver^", "^doubleclick^", "^wp-login.php", "^cgi-bin^",
+        "^ads^", "^track^", "^tracker^", "^banner^", "^popunder^", "||*.loan^", "/affiliate/*/click^",
     )
 )
 
@@ -68,13 +74,34 @@ def compiled(rule: UrlRule) -> tuple[str, list[str]]:
         for m in re.finditer(r"[A-Za-z0-9]+", body)
         if (m.start() > 0 or anchored) and body[m.start() - 1 : m.start()] != "*" and m.end() < len(body) and body[m.end()] != "*"
     ]
-    return "(?s)" + head + "".join(parts), tokens
+    return ("(?s)" if rule.base else "(?is)") + head + "".join(parts), tokens
+
+
+def rules_of(table: DataFrame) -> list[UrlRule]:
+    """The rules of a table (pattern, verdict and, if there, base), MOST_RULES at most."""
+    base = F.col("base") if "base" in table.columns else F.lit(False)
+    rows = table.select("pattern", "verdict", base.alias("base")).distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return sorted((UrlRule(r.pattern, r.verdict, bool(r.base)) for r in rows if r.pattern and r.verdict), key=lambda r: (r.pattern, r.verdict, r.base))
 
 
 def rule_length(rule: UrlRule) -> int:
     return len(rule.pattern.lstrip("|"))
 
 
+ENTRIES = "array<struct<base:int,length:int,rule:string,verdict:string,regex:string>>"
+SPREAD = 1 << 24
+
+
+def spread(token: str) -> int:
+    """A hash of a token that SQL functions can compute, too."""
+    h = 0
+    for c in token.encode():
+        h = h * 31 % SPREAD + c
+    return h
+
+
 def build_index(rules, slots: int | None = None) -> tuple[list[dict[str, list[int]]], list[int]]:
     """Slots of token -> rule numbers, and the rules without a token. Rare: used by the fewest rules, then longest."""
     tokens = [compiled(r)[1] for r in rules]
@@ -89,7 +116,7 @@ def build_index(rules, slots: int | None = None) -> tuple[list[dict[str, list[in
     n = slots or max(1, 1 << (len(filed) // 4).bit_length())
     out: list[dict[str, list[int]]] = [{} for _ in range(n)]
     for t, ids in sorted(filed.items()):
-        out[sum(t.encode()) % n][t] = ids
+        out[spread(t) % n][t] = ids
     return out, rest
 
 
@@ -109,20 +136,10 @@ def judge(pages: DataFrame, rules=BASE_RULES + PATTERN_RULES, default: str = "al
     rules = list(rules)
     slots, rest = build_index(rules)
     n = len(slots)
-
-    def entry(i: int) -> Column:
-        r = rules[i]
-        return F.struct(
-            F.lit(int(r.base)).alias("base"), F.lit(rule_length(r)).alias("length"), F.lit(r.pattern.lstrip("|")).alias("rule"),
-            F.lit(r.verdict).alias("verdict"), F.lit(compiled(r)[0]).alias("regex"),
-        )
-
-    entries = lambda ids: F.array(*map(entry, ids)) if ids else F.expr(
-        "cast(array() as array<struct<base:int,length:int,rule:string,verdict:string,regex:string>>)"
-    )
-    filler = ("", [])  # keeps every slot a map of the same type
-    maps = [F.create_map(*(x for t, ids in [*slot.items(), filler][: max(1, len(slot))] for x in (F.lit(t), entries(ids)))) for slot in slots]
-    index = F.array(*maps)
+    entry = lambda r: {"base": int(r.base), "length": rule_length(r), "rule": r.pattern.lstrip("|"), "verdict": r.verdict, "regex": compiled(r)[0]}
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)  # noqa: E731  # folded when the plan is optimized
+    table = literal([entry(r) for r in rules], ENTRIES)
+    index = literal(slots, "array<map<string,array<int>>>")
 
     host, path = split_url(F.col("url"))
     out = pages.select("page_id", "url").withColumns({"host": host, "path": path})
@@ -130,9 +147,10 @@ def judge(pages: DataFrame, rules=BASE_RULES + PATTERN_RULES, default: str = "al
     words = F.array_distinct(F.filter(F.split(F.translate("_target", UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != ""))
     out = out.withColumn("_tokens", words)
     letters = lambda t: F.split(t, "")
-    slot_of = lambda t: F.aggregate(letters(t), F.lit(0), lambda s, c: s + F.coalesce(F.ascii(c), F.lit(0))) % F.lit(n) + 1
+    slot_of = lambda t: F.aggregate(letters(t), F.lit(0), lambda s, c: s * 31 % SPREAD + F.coalesce(F.ascii(c), F.lit(0))) % F.lit(n) + 1
     found = F.flatten(F.filter(F.transform("_tokens", lambda t: F.element_at(F.element_at(index, slot_of(t)), t)), lambda x: x.isNotNull()))
-    out = out.withColumn("_candidates", F.concat(found, entries(rest)))
+    numbers = F.concat(found, literal(rest, "array<int>"))
+    out = out.withColumn("_candidates", F.transform(numbers, lambda i: F.element_at(table, i + 1)))
     out = out.withColumn("_hits", F.filter("_candidates", lambda r: F.rlike(F.col("_target"), r["regex"])))
     best = F.array_max(F.filter("_hits", lambda r: r["base"] == 1))
     other = F.array_max(F.filter("_hits", lambda r: r["base"] == 0))
