@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from cinderlog.llm.words import spans_of
 
-CACHED = 1 << 19  # pieces that a worker remembers before it starts anew, but for those of one batch
-NONE = 1 << 40  # above any rank
+CACHED = 1 << 18  # pieces that a worker remembers before it starts anew, but for those of one batch
+NONE = 1 << 30  # above any rank
 SIDE_BY_SIDE, FEWEST, ROWS = 64, 8, 4096  # largest piece in bytes, fewest and most pieces that are merged at once
 
 # Code points that became letters and numbers after Unicode 16, by whose tables texts are split.
@@ -130,7 +130,7 @@ class Pairs:
         self.keys, self.values = np.array(keys)[order], np.array(values, np.int64)[order]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left * self.span + right
+        wanted = left.astype(np.int64) * self.span + right
         at = np.searchsorted(self.keys, wanted)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == wanted, self.values[at], NONE)
@@ -142,12 +142,12 @@ def merge_rows(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
     size = 1 << int(lengths.max() - 1).bit_length()
     levels = size.bit_length() - 1
     inside = np.arange(size + 1) < lengths[:, None]
-    token = np.zeros((m, size + 1), np.int64)
+    token = np.zeros((m, size + 1), np.int32)
     token[inside] = pairs.single[np.frombuffer(b"".join(pieces), np.uint8)]
-    after = np.tile(np.arange(1, size + 2), (m, 1))  # start of the next live token, the length at the end
-    before = np.tile(np.arange(-1, size), (m, 1))
+    after = np.tile(np.arange(1, size + 2, dtype=np.int16), (m, 1))  # start of the next live token, the length at the end
+    before = np.tile(np.arange(-1, size, dtype=np.int16), (m, 1))
     live = inside.copy()
-    tree = np.full((m, 2 * size), NONE, np.int64)
+    tree = np.full((m, 2 * size), NONE, np.int32)
     linked = inside[:, 1:]  # byte i has a right neighbour
     tree[:, size:][linked] = pairs.ranks(token[:, :-1][linked], token[:, 1:][linked])
     for level in range(levels - 1, -1, -1):
@@ -161,15 +161,15 @@ def merge_rows(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
             i *= 2
             i += tree[row, i] != least
         i -= size
-        j = after[row, i]  # the right neighbour, which dies
-        k = after[row, j]
+        j = after[row, i].astype(np.int64)  # the right neighbour, which dies
+        k = after[row, j].astype(np.int64)
         token[row, i], after[row, i], live[row, j] = least, k, False
         tree[row, size + j] = NONE
         some = k < lengths[row]
         before[row[some], k[some]] = i[some]
         tree[row, size + i] = NONE
         tree[row[some], size + i[some]] = pairs.ranks(least[some], token[row[some], k[some]])
-        h = before[row, i]
+        h = before[row, i].astype(np.int64)
         left = h >= 0
         tree[row[left], size + h[left]] = pairs.ranks(token[row[left], h[left]], least[left])
         h = np.where(left, h, i)
@@ -223,9 +223,9 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.pairs = Pairs(ranks)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slot: dict[str, int] = {}  # a remembered piece's number; its ids are held[start : start + length]
         self.held, self.start, self.length, self.used = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
@@ -253,7 +253,7 @@ class Codec:
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids start (one more than there are texts)."""
         if len(self.slot) > self.cached or self.used > 16 * self.cached:
-            self._forget()
+            self.forget()
         split = [self.pieces(t) for t in texts]
         every = list(chain.from_iterable(split))
         slots = np.fromiter(map(self.slot.get, every, repeat(-1)), np.int64, len(every))
@@ -291,7 +291,7 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-BATCH = 1 << 21  # bytes of text that are encoded at once (one text at least)
+BATCH = 1 << 20  # bytes of text that are encoded at once (one text at least)
 
 
 def _encoder(path: str, pattern: str, digests: bool):
@@ -310,6 +310,7 @@ def _encoder(path: str, pattern: str, digests: bool):
                 cols = [pa.array(np.diff(at), pa.int64())]
                 cols += [pa.array([sha(",".join([digits[i] for i in x]).encode()) for x in own], pa.string()), pa.array([sha(c.decode(x)) for x in own], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()  # so that a worker that goes on with other things holds no pieces
 
     return run
 

@@ -6,18 +6,21 @@ sorted hashes with the windows' words. Workers hash the windows of whole documen
 words of every hit, so hash collisions change nothing.
 
 The set is built in blocks of items with at most BLOCK_WORDS words each, whatever the benchmark's size (an item of more
-is cut into parts that overlap by a window less a word, so that each of its windows is in one part): one block is one narrow pass without a shuffle; with more, each block is one pass over the documents, of
-which only rows with hits are kept, and hits are merged by (doc_id, hash of the text).
+is cut into parts that overlap by a window less a word, so that each of its windows is in one part): one block is one narrow pass without a
+shuffle; with more, each block is one pass over the documents, one after the other, of which only rows with hits are stored, and hits
+are merged by (doc_id, hash of the text). A block leaves the workers before the next one comes.
 
 Defined results: null and empty texts have no words; items without words hit nothing; items without an id mark
 words and are not counted; repeated items count once, repeated documents are reported each; an empty benchmark
-hits nothing; an empty table gives no rows; extra columns are ignored by the report and kept by cleaned().
+hits nothing; texts of any length are read whole, and a word between two windows that overlap is hit once; an empty table gives no rows;
+extra columns are ignored by the report and kept by cleaned().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,12 +161,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash bigint, n_words bigint, spans {SPANS}, items array<string>"
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    blocks = [context.broadcast(b) for b in _blocks(benchmark, n, block_words)]
-    if len(blocks) == 1:
-        return rows.mapInArrow(_scanner(blocks[0], False), schema).drop("text_hash")
-    parts = rows.mapInArrow(_scanner(context.broadcast(Block({})), False), schema)
-    for b in blocks:
-        parts = parts.union(rows.mapInArrow(_scanner(b, True), schema))
+    blocks = _blocks(benchmark, n, block_words)
+    first, second = next(blocks), next(blocks, None)
+    whole = rows.mapInArrow(_scanner(context.broadcast(first), False), schema)
+    if second is None:
+        return whole.drop("text_hash")
+    parts = stored(whole, "hits")
+    for block in chain([second], blocks):
+        shared = context.broadcast(block)
+        parts = parts.union(stored(rows.mapInArrow(_scanner(shared, True), schema), "hits"))
+        shared.destroy()  # one block in the workers at a time
     merged = parts.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"), F.count_if(F.size("spans") == 0).alias("copies"),
         F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),

@@ -12,7 +12,8 @@ stored, so that the join on line keys deals out both sides and adaptive executio
 back to documents by a hash of doc_id, text and host; judge() carries no texts there.
 
 Defined results: null text has no words or lines; a null host is a host of its own; rows equal in doc_id, host
-and text are judged alike and all returned; documents without words fail the base rule; an empty table gives no
+and text are judged alike and all returned; texts and lines of any length are read whole; of the lines on more documents than the limit
+all go, whatever their order; documents without words fail the base rule; an empty table gives no
 rows; extra columns are ignored.
 """
 

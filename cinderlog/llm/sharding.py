@@ -8,7 +8,7 @@ The Feistel network works on pairs (l, r) of [0, a) x [0, b) with a*b just above
 walked along their cycle until they fall below N. At most a*b - N places lie outside, so a walk ends after
 that many steps at the latest; the plan tries two steps in line and has the rest of that bound behind a CASE.
 
-Defined results: null and empty texts count 0 bytes of text; rows equal in the numbered columns are
+Defined results: null and empty texts count 0 bytes of text, texts of any length all of theirs; rows equal in the numbered columns are
 interchangeable and get consecutive numbers; null ids are numbered like any others; an empty table gives no
 rows; extra columns are ignored.
 """
@@ -103,5 +103,3 @@ def op2_feistel_shards(spark, sf_dir: str, shards: int = 40) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "row_number",
     )
-
-

@@ -50,6 +50,7 @@ LONG, LEAST = 5, 0.8  # words of a shingle and Jaccard similarity of near-duplic
 SKETCH, BLOCK = 1 << 22, 1 << 14  # slots of the sketch of shingle counts, slots of a block
 COMMON = 32  # a shingle is common if its count is so far above four times the mean slot's
 MARKS = 1 << 17  # rows of the bitmap that thins out texts before a join
+PIECE = 1 << 19  # bytes of text that are hashed at once (one text at least)
 EPS = 1e-9
 
 
@@ -227,7 +228,7 @@ def _described(size: int, key: int):
         sketch, none = np.zeros(SKETCH, np.uint32), lambda k, t: pa.nulls(k, t)
         names = ["th", "fp", "block", "counts"]
         for batch in batches:
-            for b in W.spans_of(batch, "text"):
+            for b in W.spans_of(batch, "text", PIECE):
                 hashes = shingle_hashes(b.column("text"), size, key)
                 slots, counts = np.unique(np.concatenate([np.unique(_slots(h)) for h in hashes]), return_counts=True)
                 sketch[slots] += counts.astype(np.uint32)
@@ -266,7 +267,7 @@ def _prefixes(size: int, least: float, key: int, shared):
         common = COMMON + 4 * float(sketch.mean())
         lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]).astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)])))
         for batch in batches:
-            for b in W.spans_of(batch, "text"):
+            for b in W.spans_of(batch, "text", PIECE):
                 ns, prefixes, often, ranks = [], [], [], []
                 for hashes in shingle_hashes(b.column("text"), size, key):
                     distinct = np.unique(hashes)
@@ -360,7 +361,7 @@ def _alike(size: int, least: float, key: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.spans_of(batch, "text_a", 1 << 20, 1024):
+            for part in W.spans_of(batch, "text_a", PIECE, 256):
                 bs = part.column("b").to_numpy()
                 news = np.flatnonzero(np.concatenate(([True], bs[1:] != bs[:-1])))
                 of_b = [np.unique(h) for h in shingle_hashes(part.column("text_b").take(pa.array(news)), size, key)]

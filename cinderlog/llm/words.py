@@ -90,7 +90,7 @@ def secret_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: i
     can't make words that collide, unlike with word_hashes()."""
     table, out, first = secret_table(key), np.zeros(len(starts), np.uint64), 0
     while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE // 8, "right")))
         s, n = starts[first:last], np.minimum(ends[first:last] - starts[first:last], SHORT)
         offsets = np.cumsum(n) - n
         place = np.arange(int(n.sum())) - np.repeat(offsets, n)

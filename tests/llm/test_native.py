@@ -82,6 +82,11 @@ def test_shard_query(spark, tmp_path, docs):
     got = sharding.op2_feistel_shards(spark, str(tmp_path)).collect()
     want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in rows())
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want and {r.law for r in got} == {"rows"}
+    n = len(rows())
+    assert all((r["shard"], r.slot) == (lambda p: (p % 40, p // 40))(brute_place(r.row_number, n)) for r in got) and all(r.grown_shard is None for r in got)
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes) == set(range(min(40, n))) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert Counter((r["shard"], r.slot) for r in got) == Counter((s, k) for s, m in sizes.items() for k in range(m))
 
 
 # -- URL rules -----------------------------------------------------------------------------------------------
