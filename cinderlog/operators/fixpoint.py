@@ -26,6 +26,28 @@ def loop_settings(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+class SmallRounds:
+    """Settings for rounds over literals alone, which one task does in the time that planning anything finer takes."""
+
+    SETTINGS = {
+        "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "1", "spark.sql.leafNodeDefaultParallelism": "1",
+    }
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before = spark, None
+
+    def use(self, on: bool) -> None:
+        conf = self.spark.conf
+        if on and self.before is None:
+            self.before = {k: conf.get(k, None) for k in self.SETTINGS}
+            for k, v in self.SETTINGS.items():
+                conf.set(k, v)
+        elif not on and self.before is not None:
+            for k, v in self.before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+            self.before = None
+
+
 def doubled(program: Program, symbol: str) -> Program:
     """Transitive closure written linearly, p <- e and p <- e,p (or p,e), as p <- e and p <- p,p: the same
     least fixpoint in logarithmically many rounds. Any other rules stay as they are."""
@@ -54,6 +76,8 @@ def doubled(program: Program, symbol: str) -> Program:
 
 #: Candidate rows of a round beyond which closing by p, p costs more than it saves in rounds.
 MANY_CANDIDATES = 30_000_000
+#: Pairs of a new row and a known row up to which a round over literals is one task's.
+FEW_PAIRS = 60_000_000
 
 
 def linear_step(program: Program, symbol: str) -> Rule | None:
@@ -197,6 +221,10 @@ def _keep_outside(rules: list[Rule], group, model: dict[str, Relation]) -> None:
             model[symbol] = Relation(stored(rel.df, "outside"), rel.kinds, rel.repeats)
 
 
+def literal_only(rel: Relation) -> bool:
+    return rel.n == 0 or rel.rows is not None or bool(rel.parts) and all(p.n == 0 or p.rows is not None for p in rel.parts)
+
+
 def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain=None) -> None:
     """Rounds until nothing new appears. delta: what the last round has found.
 
@@ -206,30 +234,36 @@ def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain
     known, width = sum(r.n for r in delta.values()), None
     if added is not None and known:
         _keep_outside([r for r, _ in recursive], group, model)
-    while changed := sum(r.n for r in delta.values()):
-        if plain is not None and 2 * changed * known > MANY_CANDIDATES and known > changed:
-            _keep_outside([plain], group, model)
-            width = width or max(1, model[plain.body[1].symbol].df.select("c0").distinct().count())
-            if 2 * changed * known / width > MANY_CANDIDATES:
-                recursive, plain = [(plain, 0)], None
-        whole = {p: grown[p].relation() for p in group}
-        found: dict[str, list[Relation]] = {}
-        for rule, k in recursive:
-            if not delta[rule.body[k].symbol].n:
-                continue
+    small = SmallRounds(spark)
+    try:
+        while changed := sum(r.n for r in delta.values()):
+            if plain is not None and 2 * changed * known > MANY_CANDIDATES and known > changed:
+                _keep_outside([plain], group, model)
+                width = width or max(1, model[plain.body[1].symbol].df.select("c0").distinct().count())
+                if 2 * changed * known / width > MANY_CANDIDATES:
+                    recursive, plain = [(plain, 0)], None
+            whole = {p: grown[p].relation() for p in group}
+            outside = {a.symbol for r, _ in recursive for a in r.body} - set(group)
+            small.use(changed * known <= FEW_PAIRS and all(literal_only(r) for r in (*delta.values(), *whole.values(), *(model[q] for q in outside))))
+            found: dict[str, list[Relation]] = {}
+            for rule, k in recursive:
+                if not delta[rule.body[k].symbol].n:
+                    continue
 
-            def lookup(i, a, k=k):
-                if i == k:
-                    return delta[a.symbol]
-                return whole[a.symbol] if a.symbol in whole else model[a.symbol]
-
-            found.setdefault(rule.head.symbol, []).append(compile_rule(spark, rule, lookup, k))
-        empty = lambda p: Relation.empty(spark, kinds[p])
-        delta = {p: materialized(without(union(found[p], kinds[p]), whole[p]), "round", 2 * changed) if p in found else empty(p) for p in group}
-        known += sum(r.n for r in delta.values())
-        for p, rel in delta.items():
-            grown[p].add(rel)
-            if added is not None:
-                added[p].add(rel)
+                def lookup(i, a, k=k):
+                    if i == k:
+                        return delta[a.symbol]
+                    return whole[a.symbol] if a.symbol in whole else model[a.symbol]
+
+                found.setdefault(rule.head.symbol, []).append(compile_rule(spark, rule, lookup, k))
+            empty = lambda p: Relation.empty(spark, kinds[p])
+            delta = {p: materialized(without(union(found[p], kinds[p]), whole[p]), "round", 2 * changed) if p in found else empty(p) for p in group}
+            known += sum(r.n for r in delta.values())
+            for p, rel in delta.items():
+                grown[p].add(rel)
+                if added is not None:
+                    added[p].add(rel)
+    finally:
+        small.use(False)
     for p in group:
         model[p] = grown[p].relation()
