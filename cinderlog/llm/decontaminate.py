@@ -166,13 +166,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
     whole = rows.mapInArrow(_scanner(context.broadcast(first), False), schema)
     if second is None:
         return whole.drop("text_hash")
-    parts = stored(whole, "hits")
+    parts = stored(whole.withColumn("every", F.lit(True)), "hits")  # a row for each row, unlike the others
     for block in chain([second], blocks):
         shared = context.broadcast(block)
-        parts = parts.union(stored(rows.mapInArrow(_scanner(shared, True), schema), "hits"))
+        parts = parts.union(stored(rows.mapInArrow(_scanner(shared, True), schema).withColumn("every", F.lit(False)), "hits"))
         shared.destroy()  # one block in the workers at a time
     merged = parts.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"), F.count_if(F.size("spans") == 0).alias("copies"),
+        F.max("n_words").alias("n_words"), F.count_if("every").alias("copies"),
         F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     joined = F.expr(
