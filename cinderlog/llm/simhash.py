@@ -226,20 +226,25 @@ def _described(size: int, key: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, none = np.zeros(SKETCH, np.uint32), lambda k, t: pa.nulls(k, t)
-        names = ["th", "fp", "block", "counts"]
+        names = ["th", "fp", "block", "places", "counts"]
         for batch in batches:
             for b in W.spans_of(batch, "text", PIECE):
                 hashes = shingle_hashes(b.column("text"), size, key)
                 slots, counts = np.unique(np.concatenate([np.unique(_slots(h)) for h in hashes]), return_counts=True)
                 sketch[slots] += counts.astype(np.uint32)
                 n = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([_majority(h) for h in hashes], pa.int64()), none(n, pa.int32()), none(n, pa.binary())], names)
-        blocks = [(k, sketch[k * BLOCK : (k + 1) * BLOCK]) for k in range(SKETCH // BLOCK)]
-        blocks = [(k, x.tobytes()) for k, x in blocks if x.any()]
+                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([_majority(h) for h in hashes], pa.int64()), none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary())], names)
+        blocks = []
+        for k in range(SKETCH // BLOCK):  # what isn't zero
+            x = sketch[k * BLOCK : (k + 1) * BLOCK]
+            places = np.flatnonzero(x)
+            if len(places):
+                blocks.append((k, places.astype(np.uint16).tobytes(), x[places].tobytes()))
         if blocks:
-            numbers, counts = zip(*blocks)
+            numbers, places, counts = zip(*blocks)
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(numbers, pa.int32()), pa.array(counts, pa.binary())], names)
+            cols = [pa.array(numbers, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), *cols], names)
 
     return run
 
@@ -249,12 +254,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, total = None, None
     out = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
     for b in batches:
-        for k, counts in zip(b.column("block").to_pylist(), b.column("counts")):
+        for k, places, counts in zip(b.column("block").to_pylist(), b.column("places"), b.column("counts")):
             if k != last:
                 if last is not None:
                     yield out()
                 last, total = k, np.zeros(BLOCK, np.uint32)
-            total = total + np.frombuffer(counts.as_buffer(), np.uint32)
+            total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
     if last is not None:
         yield out()
 
@@ -396,8 +401,8 @@ def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, key:
     """
     key = secrets.randbits(127) if key is None else key
     texts = texts.select("th", "text")
-    every = stored(texts.mapInArrow(_described(size, key), "th long, fp long, block int, counts binary"), "described")
-    blocks = every.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary")
+    every = stored(texts.mapInArrow(_described(size, key), "th long, fp long, block int, places binary, counts binary"), "described")
+    blocks = every.filter("block is not null").select("block", "places", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary")
     sketch = np.zeros(SKETCH, np.uint32)
     for r in blocks.toLocalIterator():  # SKETCH numbers in all
         sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint32)
