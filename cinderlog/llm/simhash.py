@@ -22,7 +22,8 @@ prefix filter: two sets that similar share one of their first n - ceil(LEAST n)
 number of them. The order is by a sketch of how many texts have a shingle, rare ones first, so that texts with many words of their
 own meet nobody. The sketch counts all texts in SKETCH slots; any order gives the same links, so its errors cost time only.
 Before that, each common shingle of a prefix proposes a star: the text with the most common shingles and each other one. What stars and
-fingerprints link is one class, and only texts of different classes still meet. Every candidate, of whichever kind, is
+fingerprints link is one class, and only texts of different classes still meet, where the places of the shingle in both leave room for
+enough others. Every candidate, of whichever kind, is
 compared by all its shingles (as 64-bit hashes under a key drawn for each run); none is dropped for being one of many.
 """
 
@@ -325,7 +326,8 @@ def _stars(least: float):
 
 
 def _meetings(least: float):
-    """Pairs of a bucket that are of two classes and not too unlike in size. Rows of a bucket are sorted by class."""
+    """Pairs of a bucket that are of two classes and may be similar by size and by place: of what two sets have in common, what comes before a
+    common shingle is at most the lesser of its places, and what comes after at most the lesser of the rests. Rows of a bucket are sorted by class."""
 
     def out(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(most)], ["a", "b", "need"])
@@ -335,13 +337,16 @@ def _meetings(least: float):
         rest = np.ceil(least * np.maximum(x, y) - EPS) - 1
         return (np.ceil(least / (1 + least) * (x + y) - EPS) - rest).astype(np.int64)
 
+    def may(x, y, at_x, at_y) -> np.ndarray:
+        return np.minimum(at_x, at_y) + np.minimum(x - at_x, y - at_y) >= least / (1 + least) * (x + y) - EPS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, classes, ths, ns), starts, ends in _buckets(batches, ("key", "class", "th", "n")):
+        for (_, classes, ths, ns, at_), starts, ends in _buckets(batches, ("key", "class", "th", "n", "at")):
             look = classes[starts] != classes[ends - 1]
             starts, ends = starts[look], ends[look]
             two = ends - starts == 2
             x, y = starts[two], starts[two] + 1
-            near = np.minimum(ns[x], ns[y]) >= least * np.maximum(ns[x], ns[y]) - EPS
+            near = may(ns[x], ns[y], at_[x], at_[y])
             x, y = x[near], y[near]
             yield out(ths[x], ths[y], need(ns[x], ns[y]))
             found, size = [], 0
@@ -349,7 +354,7 @@ def _meetings(least: float):
                 at = s + np.searchsorted(classes[s:e], classes[s:e], "right")
                 for i in range(s, int(at.searchsorted(e)) + s):
                     j = np.arange(at[i - s], e)
-                    j = j[np.minimum(ns[j], ns[i]) >= least * np.maximum(ns[j], ns[i]) - EPS]
+                    j = j[may(ns[j], ns[i], at_[j], at_[i])]
                     found.append((np.full(len(j), ths[i]), ths[j], need(ns[i], ns[j])))
                     size += len(j)
                     if size > PART:
@@ -427,7 +432,7 @@ def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, key:
 
     classes = components(close).select(F.col("node").alias("th"), F.col("root").alias("_root"))
     rows = base.select("th", "n", "prefix").join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
-    filed = rows.select(F.explode("prefix").alias("key"), "class", "th", "n")
+    filed = rows.select(F.posexplode("prefix").alias("at", "key"), "class", "th", "n").select("key", "class", "th", "n", F.col("at").cast("long").alias("at"))
     met = filed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meetings(least), "a long, b long, need long")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need").select("a", "b")
     return components(close.union(verified(pairs, "alike")))
