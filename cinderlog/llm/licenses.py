@@ -300,16 +300,24 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
     out = out.withColumn("_best", F.filter(best, lambda c: (c["k"] < n_classes) & (c["p"] >= least)))
 
-    def template(words: Column) -> Column:
+    def template(text: Column, own: Column) -> Column:
         """The template, of those that the paragraph holds, with the most words in it: number of words, similarity, family."""
-        text, own = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.array_distinct(words)
         share = lambda t: F.when(t["phrase"].isNotNull(), F.when(F.contains(text, t["phrase"]), F.lit(1.0)).otherwise(0.0)).otherwise(
             F.size(F.array_intersect(t["words"], own)) / F.size(t["words"])
         )
-        rated = F.transform(held, lambda t: F.struct(F.round(F.size(t["words"]) * share(t)).cast("int").alias("words"), share(t).alias("like"), (-t["k"]).alias("k"), (F.size(F.array_except(t["numbers"], own)) == 0).alias("ok")))
-        return F.array_max(F.filter(rated, lambda r: (r["like"] >= CONFIRM) & r["ok"]))
+        likes = F.filter(F.transform(held, lambda t: F.struct(share(t).alias("like"), t["words"].alias("ws"), t["k"].alias("k"), t["numbers"].alias("numbers"))), lambda r: r["like"] >= CONFIRM)
+        whole = F.filter(likes, lambda r: F.forall(r["numbers"], lambda w: F.array_contains(own, w)))
+        return F.array_max(F.transform(whole, lambda r: F.struct(F.round(F.size(r["ws"]) * r["like"]).cast("int").alias("words"), r["like"].alias("like"), (-r["k"]).alias("k"))))
 
-    judged = F.transform("_best", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p"), template(c["words"]).alias("t")))
+    texts = F.transform(  # made once for all templates
+        "_best",
+        lambda c: F.struct(
+            c["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p"),
+            F.concat(F.lit(" "), F.array_join(c["words"], " "), F.lit(" ")).alias("text"), F.array_distinct(c["words"]).alias("own"),
+        ),
+    )
+    out = out.withColumn("_texts", texts)
+    judged = F.transform("_texts", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p"), template(c["text"], c["own"]).alias("t")))
     out = out.withColumn("_rated", judged)
     own = lambda c: F.coalesce(c["t"]["k"] == -c["k"], F.lit(False))  # noqa: E731  # confirmed
     shaped = F.transform(
