@@ -107,7 +107,8 @@ ROUNDS, RIDGE, SPARSE = 200, 1e-4, 0.02
 PRECISION, CONFIRM = 0.99, 0.8
 WRAP = 10  # lines of a wrapped notice: the longest at 25 columns
 SLOTS = 1 << 15  # of the hash table of features
-SPLIT = "[^a-z0-9.]+"
+SCALE = 10_000  # weights are multiples of its inverse, so that their sums are exact
+SPLIT = "[^abcdefghijklmnopqrstuvwxyz0123456789.]+"  # one by one: Java looks them up at once, but tries ranges in turn
 
 
 def terms_of(paragraph: str) -> list[str]:
@@ -232,9 +233,9 @@ def _literal(value, kind: str) -> Column:
 
 def _terms(text: Column) -> Column:
     """terms_of() in SQL, of a lower-cased text."""
-    low = F.regexp_replace(text, r"([a-z])v\.?([0-9])", "$1 $2")
-    low = F.replace(F.regexp_replace(low, r"\bv\.?\s?([0-9])", "$1"), F.lit("licence"), F.lit("license"))
-    words = F.transform(F.split(low, SPLIT), lambda x: F.regexp_replace(F.trim(x, F.lit(".")), r"^([0-9]+)\.0$", "$1"))
+    low = F.regexp_replace(F.regexp_replace(text, r"([a-z])v\.?([0-9])", "$1 $2"), r"\bv\.?\s?([0-9])", "$1")
+    low = F.replace(F.when(text.rlike(r"v\.?\s?[0-9]"), low).otherwise(text), F.lit("licence"), F.lit("license"))
+    words = F.transform(F.split(low, SPLIT), lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.trim(x, F.lit(".")), r"^([0-9]+)\.0$", "$1")).otherwise(x))
     return F.filter(words, lambda x: (x != "") & ~x.isin(*SKIPPED))
 
 
@@ -243,81 +244,124 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     first line from 0), family, probability, similarity, confirmed."""
     slots, rows, bias, temperature, least, _, _ = model()
     n_classes = len(bias)
-    slot_table = [0] * SLOTS
+    at_slot, check_of = [0] * SLOTS, [-1] * SLOTS
     for slot, j in slots.items():
-        slot_table[slot] = j + 1
-    at_slot = _literal(slot_table, "array<int>")
-    checks, gains = _literal([r[0] for r in rows], "array<int>"), _literal([r[1] for r in rows], "array<double>")
-    weights, held = _literal([r[2] for r in rows], "array<array<double>>"), _literal(templates(), "array<struct<k:int,phrase:string,words:array<string>,numbers:array<string>>>")
+        at_slot[slot], check_of[slot] = j + 1, rows[j][0]
+    at_slot, check_of = _literal(at_slot, "array<int>"), _literal(check_of, "array<int>")
+    gains, zeros = _literal([r[1] for r in rows], "array<double>"), _literal([0] * n_classes, "array<long>")
+    weights, held = _literal([[round(v * SCALE) for v in r[2]] for r in rows], "array<array<long>>"), _literal(templates(), "array<struct<k:int,phrase:string,words:array<string>,numbers:array<string>>>")
     biases = _literal(bias, "array<double>")
     # the most a family may lead unknown by must reach what the least probability asks for
     margin = temperature * float(np.log(least / (1 - least))) - (max(bias[:-1]) - bias[-1])
 
-    def row_of(h: Column) -> Column:
-        """Number of the feature with this hash from 1, or 0."""
-        j = F.element_at(at_slot, (h.bitwiseAND(F.lit(SLOTS - 1).cast("long")) + 1).cast("int"))
-        return F.when((j > 0) & (F.element_at(checks, F.greatest(j, F.lit(1))) == F.shiftrightunsigned(h, 33).cast("int")), j).otherwise(0)
-
+    lines_of = lambda of, i, n: F.transform(F.sequence(i, i + n - 1), lambda j: F.get(F.col(of), j))  # noqa: E731  # slice() would read all lines
+    place = lambda h: h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
+    known = lambda h: F.get(check_of, place(h)) == F.shiftrightunsigned(h, 33).cast("int")
+    pair = lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b))
     hashes = lambda ws: F.transform(ws, lambda x: F.xxhash64(x))
-    pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-    features = lambda ws: F.filter(F.transform(F.concat(hashes(ws), pairs(ws)), row_of), lambda j: j > 0)
-    most = lambda ws: F.aggregate(features(ws), F.lit(0.0), lambda s, j: s + F.element_at(gains, j))
+    grams_of = lambda ws: F.concat(hashes(ws), F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: pair(F.get(ws, i - 1), F.get(ws, i))))
+    features = lambda hs: F.transform(F.filter(hs, known), lambda h: F.get(at_slot, place(h)))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = lambda js, start: F.aggregate(js, start, lambda s, j: plus(s, F.element_at(weights, j)))
 
     out = docs.withColumn("_lines", F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "\n"))
     out = out.withColumn("_words", F.transform("_lines", _terms))
-    # each line: the most its features can give (pairs across lines come on top, for their second word's line) and the number of its words
-    firsts = F.transform(
+    # each line: the features of its words and pairs, and that of the pair of the last word before it and its first one
+    out = out.withColumn("_features", F.transform("_words", lambda ws: F.when(F.size(ws) > 1, features(grams_of(ws))).otherwise(features(hashes(ws)))))
+    before = lambda i: F.get(F.col("_words"), i - 1)
+    across = F.transform(
         "_words",
-        lambda ws, i: F.struct(
-            (most(ws) + F.when((i > 0) & (F.size(ws) > 0), F.lit(max(r[1] for r in rows))).otherwise(0.0)).alias("g"),
-            most(ws).alias("own"), F.size(ws).cast("double").alias("n"),
-        ),
+        lambda ws, i: F.when((i > 0) & (F.size(ws) > 0) & (F.size(before(i)) > 0), features(F.array(pair(F.element_at(before(i), -1), F.get(ws, F.lit(0)))))).otherwise(F.expr("cast(array() as array<int>)")),
     )
-    out = out.withColumn("_firsts", firsts)
-    # paragraphs: from a line with words to a line with words, without a blank line among them, that may reach the threshold
-    windows = F.expr(
-        "flatten(transform(_firsts, (f, i) -> if(f.n = 0, cast(array() as array<struct<i:int,n:int>>), transform(filter("
-        f"sequence(1, {WRAP}), k -> k <= size(_firsts) - i and forall(slice(_firsts, i + 1, k), x -> x.n > 0) and "
-        "f.own + aggregate(slice(_firsts, i + 2, k - 1), 0D, (s, x) -> s + x.g) >= "
-        f"{margin!r}D * sqrt(aggregate(slice(_firsts, i + 1, k), 0D, (s, x) -> s + x.n))), k -> named_struct('i', i, 'n', k)))))"
-    )
-    out = out.withColumn("_windows", windows)
-    out = out.withColumn("_picked", F.expr("transform(_windows, w -> named_struct('i', w.i, 'n', w.n, 'words', flatten(slice(_words, w.i + 1, w.n))))"))
-    total = lambda ws: F.transform(
-        F.aggregate(F.transform(features(ws), lambda j: F.element_at(weights, j)), _literal([0.0] * n_classes, "array<double>"), lambda s, x: F.zip_with(s, x, lambda a, b: a + b)),
-        lambda v: v / F.sqrt(F.size(ws).cast("double")),
-    )
-    scored = F.transform("_picked", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["words"].alias("words"), F.zip_with(total(c["words"]), biases, lambda a, b: a + b).alias("s")))
-    out = out.withColumn("_scored", scored)
-    raised = F.transform("_scored", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["words"].alias("words"), F.transform(c["s"], lambda v: F.exp((v - F.array_max(c["s"])) / F.lit(temperature))).alias("e")))
-    out = out.withColumn("_raised", raised)
-    best = F.transform(
-        "_raised",
-        lambda c: F.struct(
-            c["i"].alias("i"), c["n"].alias("n"), c["words"].alias("words"), F.array_position(c["e"], F.array_max(c["e"])).cast("int").alias("k"),
-            (F.array_max(c["e"]) / F.aggregate(c["e"], F.lit(0.0), lambda a, b: a + b)).alias("p"),
+    out = out.withColumn("_across", across)
+    # the most its features can give, the number of its words, the sum of its features' weights, and that with the pair across
+    firsts = F.transform(
+        F.arrays_zip("_words", "_features", "_across"),
+        lambda x: F.struct(
+            F.aggregate(x["_features"], F.lit(0.0), lambda s, j: s + F.element_at(gains, j)).alias("own"), F.size(x["_words"]).cast("double").alias("n"),
+            total(x["_features"], zeros).alias("s"), x["_across"].alias("across"),
         ),
     )
-    out = out.withColumn("_best", F.filter(best, lambda c: (c["k"] < n_classes) & (c["p"] >= least)))
+    out = out.withColumn("_sums", firsts)
+    out = out.withColumn("_firsts", F.transform("_sums", lambda x: F.struct(x["own"].alias("own"), x["n"].alias("n"), x["s"].alias("s"), total(x["across"], x["s"]).alias("t"))))
+    # paragraphs: from a line with words to a line with words, without a blank line among them, that may reach the threshold. Each takes its
+    # sums from the paragraph that ends a line before: sums are of whole numbers, so their order doesn't matter
+    none = F.expr("cast(array() as array<struct<n:int,k:int,p:double>>)")
+    highest = max(r[1] for r in rows)
+
+    def judged_by(v: Column, words: Column, lines: Column) -> Column:
+        """A paragraph of these sums: itself with its family and probability, if a family is predicted."""
+        scaled = F.transform(F.array(1 / (SCALE * F.sqrt(words))), lambda f: F.zip_with(v, biases, lambda a, b: a * f + b))
+        tops = F.transform(scaled, lambda s: F.struct(s.alias("s"), F.array_max(s).alias("m")))
+        kinds = F.transform(tops, lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), F.array_position(x["s"], x["m"]).cast("int").alias("k")))
+        rated = F.transform(
+            F.filter(kinds, lambda x: x["k"] < n_classes),
+            lambda x: F.struct(lines.alias("n"), x["k"].alias("k"), (1 / F.aggregate(x["s"], F.lit(0.0), lambda a, v: a + F.exp((v - x["m"]) / F.lit(temperature)))).alias("p")),
+        )
+        return F.filter(rated, lambda x: x["p"] >= least)
+
+    def longer(first: Column):
+        """The step from a paragraph to that of one more line. n is 0 before the first, and -1 after a blank line."""
+
+        def step(a: Column, x: Column) -> Column:
+            one = F.struct(
+                (a["n"] + 1).alias("n"), (a["rest"] + F.when(a["n"] > 0, x["own"] + highest).otherwise(0.0)).alias("rest"), (a["words"] + x["n"]).alias("words"),
+                F.when(a["n"] > 0, plus(a["v"], x["t"])).otherwise(x["s"]).alias("v"), a["reach"].alias("reach"), a["found"].alias("found"),
+            )
+            may = lambda b: first["own"] + b["rest"] >= margin * F.sqrt(b["words"])
+            grown = F.transform(
+                F.array(one),
+                lambda b: F.when(
+                    may(b),
+                    F.struct(b["n"].alias("n"), b["rest"].alias("rest"), b["words"].alias("words"), b["v"].alias("v"), b["n"].alias("reach"), F.concat(b["found"], judged_by(b["v"], b["words"], b["n"])).alias("found")),
+                ).otherwise(b),
+            )
+            over = F.struct(F.lit(-1).alias("n"), a["rest"].alias("rest"), a["words"].alias("words"), a["v"].alias("v"), a["reach"].alias("reach"), a["found"].alias("found"))
+            return F.when((a["n"] < 0) | (x["n"] == 0), over).otherwise(F.get(grown, F.lit(0)))
+
+        return step
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("rest"), F.lit(0.0).alias("words"), zeros.alias("v"), F.lit(0).alias("reach"), none.alias("found"))
+    windows = F.transform(
+        "_firsts",
+        lambda f, i: F.aggregate(lines_of("_firsts", i, F.least(F.lit(WRAP), F.size("_firsts") - i)), start, longer(f), lambda a: F.struct(i.alias("i"), a["reach"].alias("n"), a["found"].alias("found"))),
+    )
+    out = out.withColumn("_windows", F.filter(windows, lambda w: w["n"] > 0))
+    best = F.flatten(F.transform("_windows", lambda w: F.transform(w["found"], lambda c: F.struct(w["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p")))))
+    out = out.withColumn("_best", best)
+
+    def shares(text: Column, own: Column):
+        """How much of a template is in a text of these words."""
+        return lambda t: F.when(t["phrase"].isNotNull(), F.when(F.contains(text, t["phrase"]), F.lit(1.0)).otherwise(0.0)).otherwise(F.size(F.array_intersect(t["words"], own)) / F.size(t["words"]))
 
     def template(text: Column, own: Column) -> Column:
         """The template, of those that the paragraph holds, with the most words in it: number of words, similarity, family."""
-        share = lambda t: F.when(t["phrase"].isNotNull(), F.when(F.contains(text, t["phrase"]), F.lit(1.0)).otherwise(0.0)).otherwise(
-            F.size(F.array_intersect(t["words"], own)) / F.size(t["words"])
-        )
-        likes = F.filter(F.transform(held, lambda t: F.struct(share(t).alias("like"), t["words"].alias("ws"), t["k"].alias("k"), t["numbers"].alias("numbers"))), lambda r: r["like"] >= CONFIRM)
+        share = shares(text, own)
+        likes = F.filter(F.transform("_held", lambda t: F.struct(share(t).alias("like"), t["words"].alias("ws"), t["k"].alias("k"), t["numbers"].alias("numbers"))), lambda r: r["like"] >= CONFIRM)
         whole = F.filter(likes, lambda r: F.forall(r["numbers"], lambda w: F.array_contains(own, w)))
         return F.array_max(F.transform(whole, lambda r: F.struct(F.round(F.size(r["ws"]) * r["like"]).cast("int").alias("words"), r["like"].alias("like"), (-r["k"]).alias("k"))))
 
+    spaced = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    # a paragraph holds no more than its whole text does: of most texts nothing that any family predicted there could be confirmed by
+    none = F.filter(held, lambda t: F.lit(False))
+    out = out.withColumn("_kinds", F.array_distinct(F.transform("_best", lambda c: c["k"])))
+    whole = F.when(F.size("_kinds") > 0, F.flatten("_words"))
+    out = out.withColumn("_whole", F.transform(F.array(whole), lambda ws: F.struct(spaced(ws).alias("text"), F.array_distinct(ws).alias("own")))[0])
+    within = shares(F.col("_whole.text"), F.col("_whole.own"))
+    able = F.exists(F.filter(held, lambda t: F.array_contains("_kinds", t["k"])), lambda t: within(t) >= CONFIRM)
+    out = out.withColumn("_held", F.when((F.size("_kinds") > 0) & able, F.filter(held, lambda t: within(t) >= CONFIRM)).otherwise(none))
     texts = F.transform(  # made once for all templates
         "_best",
         lambda c: F.struct(
             c["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p"),
-            F.concat(F.lit(" "), F.array_join(c["words"], " "), F.lit(" ")).alias("text"), F.array_distinct(c["words"]).alias("own"),
+            F.when(F.size("_held") > 0, F.transform(F.array(F.flatten(lines_of("_words", c["i"], c["n"]))), lambda ws: F.struct(spaced(ws).alias("text"), F.array_distinct(ws).alias("own")))[0]).alias("of"),
         ),
     )
-    out = out.withColumn("_texts", texts)
-    judged = F.transform("_texts", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p"), template(c["text"], c["own"]).alias("t")))
+    out = out.withColumn("_texts", F.filter(texts, lambda c: (c["n"] == 1) | c["of"].isNotNull()))
+    judged = F.transform(
+        "_texts",
+        lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["p"].alias("p"), F.when(c["of"].isNotNull(), template(c["of"]["text"], c["of"]["own"])).alias("t")),
+    )
     out = out.withColumn("_rated", judged)
     own = lambda c: F.coalesce(c["t"]["k"] == -c["k"], F.lit(False))  # noqa: E731  # confirmed
     shaped = F.transform(

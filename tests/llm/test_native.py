@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -297,3 +298,16 @@ def test_wrapped_notices(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
     got = found_licences(spark, [bsd, bsd.replace("\n", "\n\n"), "Released under the MIT License.\n" + bsd + "\nLicensed under CC BY 4.0."])
     assert [[x[:2] for x in g if x[2]] for g in got] == [[(0, "BSD")], [], [(0, "MIT"), (1, "BSD"), (3, "CC-BY-4.0")]]
+
+
+def test_long_runs_of_lines_are_scanned_fast(spark):
+    """Paragraphs of many lines are scored by the sums of their lines, and templates are tried only where a whole text may hold them."""
+    rng = random.Random(4)
+    stock = ["the", "of", "and", "to", "in", "is", "by", "or", "a", "for", "this", "that"] + ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 9))) for _ in range(24)]
+    prose = lambda n: [" ".join(rng.choices(stock, k=40)) for _ in range(n)]
+    texts = ["\n".join([*prose(n), "", "Released under the MIT License.", "", *prose(n)]) for n in [3] + [30] * 1000]
+    assert brute_licences(texts[0]) == found_licences(spark, texts[:1])[0]
+    began = time.perf_counter()
+    got = found_licences(spark, texts[1:])
+    assert time.perf_counter() - began < 20
+    assert all((31, "MIT", True) in x for x in got)
