@@ -23,7 +23,8 @@ number of them. The order is by a sketch of how many texts have a shingle, rare
 own meet nobody. The sketch counts all texts in SKETCH slots; any order gives the same links, so its errors cost time only.
 Before that, each common shingle of a prefix proposes a star: the text with the most common shingles and each other one. What stars and
 fingerprints link is one class, and only texts of different classes still meet, where the places of the shingle in both leave room for
-enough others. Every candidate, of whichever kind, is
+enough others, and in buckets of common shingles only where their parities (PARITY bits of each text) allow for it: parities differ in
+no more bits than sets differ in shingles, so no similar pair is lost. Every candidate, of whichever kind, is
 compared by all its shingles (as 64-bit hashes under a key drawn for each run); none is dropped for being one of many.
 """
 
@@ -52,6 +53,7 @@ SKETCH, BLOCK = 1 << 22, 1 << 14  # slots of the sketch of shingle counts, slots
 COMMON = 32  # a shingle is common if its count is so far above four times the mean slot's
 MARKS = 1 << 17  # rows of the bitmap that thins out texts before a join
 PIECE = 1 << 19  # bytes of text that are hashed at once (one text at least)
+PARITY = 512  # bits of a text's parities: bit i is whether an odd number of its shingles fall on i
 EPS = 1e-9
 
 
@@ -265,8 +267,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def parities(distinct: np.ndarray) -> bytes:
+    """Two texts' parities differ in no more bits than there are shingles that one of them has and the other hasn't."""
+    slots = (distinct >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def _prefixes(size: int, least: float, key: int, shared):
-    """n (distinct shingles), prefix in the order of the sketch's counts, the prefix's common shingles, and how common the text's shingles are."""
+    """n (distinct shingles), prefix in the order of the sketch's counts, the prefix's common shingles (which are its last ones), how common the text's
+    shingles are, and the parities of a text with common ones in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
@@ -274,7 +283,7 @@ def _prefixes(size: int, least: float, key: int, shared):
         lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]).astype(np.int32)), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)])))
         for batch in batches:
             for b in W.spans_of(batch, "text", PIECE):
-                ns, prefixes, often, ranks = [], [], [], []
+                ns, prefixes, often, ranks, bits = [], [], [], [], []
                 for hashes in shingle_hashes(b.column("text"), size, key):
                     distinct = np.unique(hashes)
                     counts = sketch[_slots(distinct)]
@@ -283,8 +292,9 @@ def _prefixes(size: int, least: float, key: int, shared):
                     prefixes.append(distinct[first].view(np.int64))
                     often.append(distinct[first][counts[first] >= common].view(np.int64))
                     ranks.append(float(np.log2(counts + 1.0).mean()))
-                cols = [b.column("th"), pa.array(ns, pa.int64()), lists(prefixes), lists(often), pa.array(ranks, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, ["th", "n", "prefix", "often", "rank"])
+                    bits.append(parities(distinct) if len(often[-1]) else None)
+                cols = [b.column("th"), pa.array(ns, pa.int64()), lists(prefixes), lists(often), pa.array(ranks, pa.float64()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["th", "n", "prefix", "often", "rank", "bits"])
 
     return run
 
@@ -327,7 +337,8 @@ def _stars(least: float):
 
 def _meetings(least: float):
     """Pairs of a bucket that are of two classes and may be similar by size and by place: of what two sets have in common, what comes before a
-    common shingle is at most the lesser of its places, and what comes after at most the lesser of the rests. Rows of a bucket are sorted by class."""
+    common shingle is at most the lesser of its places, and what comes after at most the lesser of the rests. In a bucket of a common shingle
+    their parities must not differ in more bits than similar sets do in shingles: that no similar pair fails. Rows of a bucket are sorted by class."""
 
     def out(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(most)], ["a", "b", "need"])
@@ -341,7 +352,7 @@ def _meetings(least: float):
         return np.minimum(at_x, at_y) + np.minimum(x - at_x, y - at_y) >= least / (1 + least) * (x + y) - EPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, classes, ths, ns, at_), starts, ends in _buckets(batches, ("key", "class", "th", "n", "at")):
+        for (_, classes, ths, ns, at_, bits), starts, ends in _buckets(batches, ("key", "class", "th", "n", "at", "bits")):
             look = classes[starts] != classes[ends - 1]
             starts, ends = starts[look], ends[look]
             two = ends - starts == 2
@@ -352,9 +363,13 @@ def _meetings(least: float):
             found, size = [], 0
             for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
                 at = s + np.searchsorted(classes[s:e], classes[s:e], "right")
+                odd = None if any(x is None for x in bits[s:e]) else np.frombuffer(b"".join(bits[s:e]), np.uint64).reshape(e - s, -1)
                 for i in range(s, int(at.searchsorted(e)) + s):
                     j = np.arange(at[i - s], e)
                     j = j[may(ns[j], ns[i], at_[j], at_[i])]
+                    if odd is not None:
+                        unlike = np.bitwise_count(odd[j - s] ^ odd[i - s]).sum(1, dtype=np.int64)
+                        j = j[unlike <= (1 - least) / (1 + least) * (ns[j] + ns[i]) + EPS]
                     found.append((np.full(len(j), ths[i]), ths[j], need(ns[i], ns[j])))
                     size += len(j)
                     if size > PART:
@@ -412,8 +427,8 @@ def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, key:
     for r in blocks.toLocalIterator():  # SKETCH numbers in all
         sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint32)
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
-    described = texts.mapInArrow(_prefixes(size, least, key, shared), "th long, n long, prefix array<long>, often array<long>, rank double")
-    base = stored(described.groupBy("th").agg(*(F.any_value(c).alias(c) for c in ("n", "prefix", "often", "rank"))), "base")
+    described = texts.mapInArrow(_prefixes(size, least, key, shared), "th long, n long, prefix array<long>, often array<long>, rank double, bits binary")
+    base = stored(described.groupBy("th").agg(*(F.any_value(c).alias(c) for c in ("n", "prefix", "often", "rank", "bits"))), "base")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs, "candidates")
@@ -431,8 +446,9 @@ def similar_texts(texts: DataFrame, size: int = LONG, least: float = LEAST, key:
     close = verified(bits.union(same).union(stars).distinct(), "close")
 
     classes = components(close).select(F.col("node").alias("th"), F.col("root").alias("_root"))
-    rows = base.select("th", "n", "prefix").join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
-    filed = rows.select(F.posexplode("prefix").alias("at", "key"), "class", "th", "n").select("key", "class", "th", "n", F.col("at").cast("long").alias("at"))
+    rows = base.select("th", "n", "prefix", "bits", (F.size("prefix") - F.size("often")).alias("rare")).join(classes, "th", "left").withColumn("class", F.coalesce("_root", "th"))
+    filed = rows.select(F.posexplode("prefix").alias("at", "key"), "class", "th", "n", "bits", "rare")
+    filed = filed.select("key", "class", "th", "n", F.col("at").cast("long").alias("at"), F.when(F.col("at") >= F.col("rare"), F.col("bits")).alias("bits"))
     met = filed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meetings(least), "a long, b long, need long")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need").select("a", "b")
     return components(close.union(verified(pairs, "alike")))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -545,3 +546,30 @@ def test_pipeline(spark, tmp_path):
     c = bpe.codec(*bpe.vocabulary())
     assert all(list(r.token_ids) == c.encode(r.text) for r in got.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "benchmark decontamination", "secret scans", "byte-level BPE"]
+
+
+def test_unlike_texts_of_a_large_group_do_not_meet():
+    rng, size, least, key = random.Random(8), 5, 0.8, 7
+    base = [f"w{i}" for i in range(150)]
+    edited = [[f"x{rng.random()}" if rng.random() < 0.03 else w for w in base] for _ in range(400)]
+    near = [[*words[:60], f"y{i}", *words[61:]] for i, words in enumerate(edited[:40])]
+    texts = pa.array([" ".join(words) for words in edited + near])
+    sets = [np.unique(h) for h in simhash.shingle_hashes(texts, size, key)]
+    sketch = np.zeros(simhash.SKETCH, np.uint32)
+    for s in sets:
+        np.add.at(sketch, np.unique(simhash._slots(s)), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), texts], ["th", "text"])
+    rows = [r for b in simhash._prefixes(size, least, key, SimpleNamespace(value=sketch))([batch]) for r in b.to_pylist()]
+    filed = sorted(((k, r["th"], r["th"], r["n"], at, r["bits"] if k in set(r["often"]) else None) for r in rows for at, k in enumerate(r["prefix"])), key=lambda x: x[:2])
+
+    def meetings(filed):
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*filed), kinds)]
+        out = pa.Table.from_batches(simhash._meetings(least)([pa.RecordBatch.from_arrays(columns, ["key", "class", "th", "n", "at", "bits"])]))
+        return Counter(zip(out.column("a").to_pylist(), out.column("b").to_pylist())), dict(zip(zip(out.column("a").to_pylist(), out.column("b").to_pylist()), out.column("need").to_pylist()))
+
+    (met, need), (every, _) = meetings(filed), meetings([(*r[:5], None) for r in filed])
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) for both in [len(np.intersect1d(sets[a], sets[b]))] if both >= least * (len(sets[a]) + len(sets[b]) - both)}
+    assert len(similar) >= 40 and all(met[p] == every[p] >= need[p] for p in similar)
+    unlike = lambda x: sum(n for p, n in x.items() if p not in similar)
+    assert unlike(every) > 10_000 and unlike(every) > 10 * unlike(met), (unlike(every), unlike(met), len(similar))
