@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from cinderlog.functions.scratch import LITERAL_BYTES, LITERAL_ROWS, costly, few_rows, size_estimate, stored
+from cinderlog.operators.closure import closed
 from cinderlog.operators.compile import compile_rule, rule_kinds, without
 from cinderlog.operators.relation import Grown, Relation, common_kinds, from_list, materialized, union
 from cinderlog.plans.analysis import components
@@ -76,6 +77,8 @@ def doubled(program: Program, symbol: str) -> Program:
 
 #: Candidate rows of a round beyond which closing by p, p costs more than it saves in rounds.
 MANY_CANDIDATES = 30_000_000
+#: Members of a component from which a closure of few edges isn't begun by rounds.
+MANY_MEMBERS = 1_000
 #: Pairs of a new row and a known row up to which a round over literals is one task's.
 FEW_PAIRS = 60_000_000
 
@@ -179,7 +182,25 @@ def _first_solution(spark, program, group, recursive, kinds, model) -> None:
         start = ([model[p]] if p in model else []) + got
         delta[p] = materialized(Relation(union(start, kinds[p]).df.distinct(), kinds[p]), "start") if start else Relation.empty(spark, kinds[p])
         grown[p] = Grown(delta[p])
-    _rounds(spark, program, group, kinds, model, grown, delta, plain=plain)
+    edges = delta[group[0]] if plain is not None else None
+    if edges is not None and edges.n and (edges.rows is None or edges.n >= MANY_MEMBERS):
+        whole = _closure(spark, program, group[0], kinds, edges, plain, 1 if edges.rows is None else MANY_MEMBERS)
+        if whole is not None:
+            model[group[0]] = whole
+            return
+        edges = None if edges.rows is None else edges
+    _rounds(spark, program, group, kinds, model, grown, delta, plain=plain, edges=edges)
+
+
+def _closure(spark, program, p, kinds, edges: Relation, plain: Rule, least: int = 1) -> Relation | None:
+    """p as the closure of its first rule's rows, or None where only rounds will do, or no component has as many members as least."""
+
+    def by_rounds(e: Relation) -> Relation:
+        model = {plain.body[1].symbol: e}
+        _rounds(spark, program, [p], kinds, model, {p: Grown(e)}, {p: e}, plain=plain)
+        return model[p]
+
+    return closed(spark, edges, by_rounds, least)
 
 
 def _update(spark, program, group, kinds, model, delta) -> None:
@@ -187,6 +208,9 @@ def _update(spark, program, group, kinds, model, delta) -> None:
     uses = [(r, k) for p in group for r in program.rules_for(p) for k, a in enumerate(r.body) if a.symbol in delta and a.symbol not in group]
     if not uses and not any(p in delta for p in group):
         return
+    for p in group:  # a closure that is made where it is read is read in every round
+        if p in model and model[p].n is None and any(a.symbol in group for r in program.rules_for(p) for a in r.body) and costly(model[p].df):
+            model[p] = materialized(model[p], "known", LITERAL_ROWS + 1)
     grown = {p: Grown(model[p].widened(kinds[p]) if p in model else Relation.empty(spark, kinds[p])) for p in group}
     now = lambda a: grown[a.symbol].relation() if a.symbol in grown else model[a.symbol]
     start, added = {}, {p: Grown(Relation.empty(spark, kinds[p])) for p in group}
@@ -225,10 +249,11 @@ def literal_only(rel: Relation) -> bool:
     return rel.n == 0 or rel.rows is not None or bool(rel.parts) and all(p.n == 0 or p.rows is not None for p in rel.parts)
 
 
-def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain=None) -> None:
+def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain=None, edges=None) -> None:
     """Rounds until nothing new appears. delta: what the last round has found.
 
     plain: a rule that may take the place of the recursive ones once their rounds would make too many candidates.
+    edges: what a closure is of, where it may then be made as a whole instead.
     """
     recursive = [(r, k) for p in group for r in program.rules_for(p) for k, a in enumerate(r.body) if a.sign and a.symbol in group]
     known, width = sum(r.n for r in delta.values()), None
@@ -241,6 +266,11 @@ def _rounds(spark, program, group, kinds, model, grown, delta, added=None, plain
                 _keep_outside([plain], group, model)
                 width = width or max(1, model[plain.body[1].symbol].df.select("c0").distinct().count())
                 if 2 * changed * known / width > MANY_CANDIDATES:
+                    small.use(False)
+                    whole = None if edges is None else _closure(spark, program, group[0], kinds, edges, plain)
+                    if whole is not None:
+                        model[group[0]] = whole
+                        return
                     recursive, plain = [(plain, 0)], None
             whole = {p: grown[p].relation() for p in group}
             outside = {a.symbol for r, _ in recursive for a in r.body} - set(group)
