@@ -33,10 +33,10 @@ def closed(spark: SparkSession, e: Relation, by_rounds: Callable[[Relation], Rel
     if nulls:  # they equal nothing, so they are no nodes
         return None
     if e.n > LOCAL_EDGES or most > LOCAL_BYTES:
-        return None
+        return lists(e)
     found = condensed(spark, e, least)
     if found is None:
-        return None
+        return None if least > 1 else lists(e) or by_rounds(e)
     members, between = found
     rest = None if between is None else lists(between) or by_rounds(between)
     return Relation(expanded(members, rest and rest.df), e.kinds)
